@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import line_dedup, url_filter
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -13,12 +15,31 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .line_dedup import drop_boilerplate
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return drop_boilerplate(docs, counts=True).select("doc_id", "text", "n_lines", "n_removed")
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack_documents
 
     return pack_documents(_table(spark, sf_dir, "documents"))
 
 
+def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .url_filter import judge, rules_frame
+
+    return judge(_table(spark, sf_dir, "pages"), rules_frame(spark))
+
+
+def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sharding import shard_rows
+
+    return shard_rows(_table(spark, sf_dir, "documents"))
+
+
 def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .pfor import tokens_roundtrip
 
@@ -26,8 +47,11 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_line_dedup": op1_line_dedup,
     "op3_packing": op3_packing,
+    "op7_url_filters": op7_url_filters,
+    "op8_sharding": op8_sharding,
     "op10_token_output": op10_token_output,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op1_line_dedup": line_dedup.oracle(), "op7_url_filters": url_filter.oracle()}
