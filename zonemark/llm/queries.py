@@ -34,6 +34,12 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"))
 
 
+def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import matches
+
+    return matches(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .url_filter import judge, rules_frame
 
@@ -56,6 +62,7 @@ QUERIES: dict[str, Query] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_toxicity": op2_toxicity,
     "op3_packing": op3_packing,
+    "op5_benchmark_decontamination": op5_benchmark_decontamination,
     "op7_url_filters": op7_url_filters,
     "op8_sharding": op8_sharding,
     "op10_token_output": op10_token_output,
