@@ -207,11 +207,11 @@ def pack_documents(
             new = b.column(0).to_pylist()
             pro = [int(p or 0) for p in b.column(2).to_pylist()]
             texts = b.column(1)
-            for lo in range(0, len(new), 1000):
-                enc = tok.encode(texts.slice(lo, 1000).to_pylist())
+            for lo in range(0, len(new), 5000):
+                enc = tok.encode(texts.slice(lo, 5000))
                 enc = [np.append(x, tail).astype(np.uint32) for x in enc]
-                doc_ids += new[lo : lo + 1000]
-                prompts += pro[lo : lo + 1000]
+                doc_ids += new[lo : lo + 5000]
+                prompts += pro[lo : lo + 5000]
                 ids += enc
                 held += sum(map(len, enc))
                 if len(ids) >= limits.block_items or held > 16_000_000:

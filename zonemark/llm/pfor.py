@@ -190,8 +190,8 @@ def write_tokens(
 
         for b in batches:
             new, texts = b.column(0).to_pylist(), b.column(1)
-            for lo in range(0, len(new), 500):
-                for d, x in zip(new[lo : lo + 500], tok.encode(texts.slice(lo, 500).to_pylist())):
+            for lo in range(0, len(new), 5000):
+                for d, x in zip(new[lo : lo + 5000], tok.encode(texts.slice(lo, 5000))):
                     doc_ids.append(d)
                     ids.append(np.append(x, tail).astype(np.uint32))
                     held += len(ids[-1])

@@ -1,19 +1,23 @@
 """Tokenising whole texts with a public tokenizer file, fast enough to be run per task.
 
 The tokenizer's pre-tokenizer drops white space and never joins across it, so the ids of a text are
-the ids of its white-space separated chunks, one after the other.  Chunks repeat a lot, so a worker
-keeps the ids of the chunks it has seen (``max_chunks`` of them, then it starts afresh: memory stays
-bounded and the result does not depend on what is kept).
+the ids of its white-space separated chunks, one after the other.  Arrow splits a batch and numbers
+its distinct chunks; only those are encoded.  Most are letters with perhaps one mark after them: the
+pre-tokenizer parts the mark from the letters, and a run of letters is one unit that ends with the one
+end-of-word token, so many runs are encoded in one call and told apart by those tokens.  A worker keeps
+the ids of the letter runs it has seen, up to ``max_known``; then it starts afresh, so memory stays
+bounded and the result does not depend on what is kept.
 """
 
 from __future__ import annotations
 
 import numpy as np
-
-#: Python's str.split() also splits at these four, the tokenizer's pattern does not.
-_NOT_SPACE = ("\x1c", "\x1d", "\x1e", "\x1f")
+import pyarrow as pa
+import pyarrow.compute as pc
 
 _TOKENIZERS: dict[str, "ChunkTokenizer"] = {}
+_MARKS = ".,;:!?"
+_JOIN = 200
 
 
 def default_path() -> str:
@@ -37,17 +41,40 @@ def ragged(starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
     return np.repeat(starts - (ends - lens), lens) + np.arange(ends[-1])
 
 
+def whole(texts: pa.Array) -> pa.Array:
+    """A large_string array without nulls that owns all of its buffers: some of Arrow's kernels go
+    wrong on slices."""
+    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    off = np.frombuffer(texts.buffers()[1], np.int64, len(texts) + 1, 8 * texts.offset) if len(texts) else np.zeros(1, np.int64)
+    data = texts.buffers()[2]
+    data = data.slice(int(off[0]), int(off[-1] - off[0])) if data else pa.py_buffer(b"")
+    return pa.LargeStringArray.from_buffers(len(texts), pa.py_buffer(off - off[0]), data)
+
+
 class ChunkTokenizer:
-    def __init__(self, path: str, max_chunks: int = 700_000) -> None:
+    """For tokenizers that lower-case and whose pre-tokenizer splits off white space and punctuation."""
+
+    def __init__(self, path: str, max_known: int = 600_000) -> None:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.raw = Tokenizer.from_file(path)
-        self.max_chunks = max_chunks
+        self.max_known = max_known
+        vocab = self.raw.get_vocab()
+        self.ends_word = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends_word[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+        mark_ids = [self._one(m) for m in _MARKS]
+        self.mark_ids = np.array([0, *(m[0] for m in mark_ids)], np.uint32)
+        self.marks = {m: k + 1 for k, m in enumerate(_MARKS)}
+        if any(len(m) != 1 for m in mark_ids):
+            raise ValueError("a mark is more than one token")
         self._forget()
 
+    def _one(self, text: str) -> list[int]:
+        return self.raw.encode(text, add_special_tokens=False).ids
+
     def _forget(self) -> None:
         self.known: dict[str, int] = {}
         self.flat = np.empty(1 << 20, np.uint32)
@@ -55,54 +82,98 @@ class ChunkTokenizer:
         self.start = np.empty(1 << 18, np.int64)
         self.len = np.empty(1 << 18, np.int64)
 
-    def _learn(self, chunks: list[str]) -> None:
+    def _add(self, words: list[str], ids: np.ndarray, lens: np.ndarray) -> None:
+        first, n = len(self.known), len(ids)
+        while self.used + n > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
+        while first + len(words) > len(self.start):
+            self.start = np.concatenate([self.start, np.empty_like(self.start)])
+            self.len = np.concatenate([self.len, np.empty_like(self.len)])
+        self.flat[self.used : self.used + n] = ids
+        ends = np.cumsum(lens)
+        self.start[first : first + len(words)] = self.used + ends - lens
+        self.len[first : first + len(words)] = lens
+        self.known.update(zip(words, range(first, first + len(words))))
+        self.used += n
+
+    def _learn_runs(self, runs: list[str]) -> None:
+        """Letter runs, many to a call; a call whose word ends do not add up is done one by one."""
+        for lo in range(0, len(runs), 100 * _JOIN):
+            groups = [runs[k : k + _JOIN] for k in range(lo, min(lo + 100 * _JOIN, len(runs)), _JOIN)]
+            for words, e in zip(groups, self.raw.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False)):
+                ids = np.array(e.ids, np.uint32)
+                ends = np.flatnonzero(self.ends_word[ids]) + 1
+                if len(ends) == len(words) and ends[-1] == len(ids):
+                    self._add(words, ids, np.diff(ends, prepend=0))
+                else:
+                    self._learn_others(words)
+
+    def _learn_others(self, chunks: list[str]) -> None:
         for lo in range(0, len(chunks), 20_000):
             part = chunks[lo : lo + 20_000]
-            encoded = [e.ids for e in self.raw.encode_batch_fast(part, add_special_tokens=False)]
-            lens = np.fromiter(map(len, encoded), np.int64, len(encoded))
-            n, first = int(lens.sum()), len(self.known)
-            while self.used + n > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
-            while first + len(part) > len(self.start):
-                self.start = np.concatenate([self.start, np.empty_like(self.start)])
-                self.len = np.concatenate([self.len, np.empty_like(self.len)])
-            self.flat[self.used : self.used + n] = [i for ids in encoded for i in ids]
-            ends = np.cumsum(lens)
-            self.start[first : first + len(part)] = self.used + ends - lens
-            self.len[first : first + len(part)] = lens
-            self.known.update(zip(part, range(first, first + len(part))))
-            self.used += n
-
-    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
+            ids = [e.ids for e in self.raw.encode_batch_fast(part, add_special_tokens=False)]
+            lens = np.fromiter(map(len, ids), np.int64, len(ids))
+            self._add(part, np.fromiter((i for x in ids for i in x), np.uint32, int(lens.sum())), lens)
+
+    def _chunks(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, how many) of each chunk."""
+        if len(self.known) > self.max_known:
+            self._forget()
+        known, marks = self.known, self.marks
+        stems, mark = chunks.copy(), np.zeros(len(chunks), np.int64)
+        runs: set[str] = set()
+        others: set[str] = set()
+        for k, c in enumerate(chunks):
+            if c in known:
+                continue
+            if c.isalpha():
+                runs.add(c)
+                continue
+            m = marks.get(c[-1:])
+            if m and (s := c[:-1]).isalpha():
+                stems[k], mark[k] = s, m
+                if s not in known:
+                    runs.add(s)
+            else:
+                others.add(c)
+        self._learn_runs(list(runs))
+        self._learn_others(list(others))
+        at = np.fromiter(map(known.__getitem__, stems), np.int64, len(stems))
+        lens = self.len[at]
+        total = lens + (mark > 0)
+        out = np.zeros(int(total.sum()), np.uint32)
+        first = np.cumsum(total) - total
+        out[ragged(first, lens)] = self.flat[ragged(self.start[at], lens)]
+        has = mark > 0
+        out[(first + lens)[has]] = self.mark_ids[mark[has]]
+        return out, total
+
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
         """One uint32 array of ids a text; a null text counts as empty."""
+        texts = whole(texts)
         out: list[np.ndarray] = []
-        lo = 0
+        size, lo = pc.binary_length(texts).to_numpy(zero_copy_only=False), 0
         while lo < len(texts):
-            hi, chars = lo, 0
-            while hi < len(texts) and (hi == lo or chars + len(texts[hi] or "") < 8_000_000):
-                chars += len(texts[hi] or "")
-                hi += 1
-            out += self._encode(texts[lo:hi])
+            hi = lo + max(1, int(np.searchsorted(np.cumsum(size[lo:]), 24_000_000, "right")))
+            out += self._encode(whole(texts.slice(lo, hi - lo)))
             lo = hi
         return out
 
-    def _encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        direct = {k: t for k, t in enumerate(texts) if t and any(c in t for c in _NOT_SPACE)}
-        words = [[] if not t or k in direct else t.split() for k, t in enumerate(texts)]
-        if len(self.known) > self.max_chunks:
-            self._forget()
-        fresh: set[str] = set()
-        for w in words:
-            fresh.update(w)
-        fresh -= self.known.keys()
-        if fresh:
-            self._learn(list(fresh))
-        counts = np.fromiter(map(len, words), np.int64, len(words))
-        at = np.fromiter((i for w in words for i in map(self.known.__getitem__, w)), np.int64, int(counts.sum()))
-        lens = self.len[at]
-        ids = self.flat[ragged(self.start[at], lens)]
-        ends = np.concatenate([[0], np.cumsum(lens)])[np.concatenate([[0], np.cumsum(counts)])]
-        out = [ids[a:b] for a, b in zip(ends[:-1], ends[1:])]
-        for k, t in direct.items():
-            out[k] = np.array(self.raw.encode(t, add_special_tokens=False).ids, np.uint32)
+    def _encode(self, texts: pa.Array) -> list[np.ndarray]:
+        special = pc.match_substring(texts, "<|").to_numpy(zero_copy_only=False)
+        lower = pc.ascii_lower(texts)
+        if special.any():  # the strings of special tokens are matched before lower-casing
+            lower = pc.if_else(pa.array(special), "", lower)
+        words = pc.ascii_split_whitespace(lower)
+        bounds = words.offsets.to_numpy()
+        coded = words.flatten().dictionary_encode()
+        ids, lens = self._chunks(coded.dictionary.to_pylist())
+        at = coded.indices.to_numpy()
+        first = np.cumsum(lens) - lens
+        n = lens[at]
+        flat = ids[ragged(first[at], n)]
+        ends = np.concatenate([[0], np.cumsum(n)])[bounds - bounds[0]]
+        out = [flat[a:b] for a, b in zip(ends[:-1], ends[1:])]
+        for k in np.flatnonzero(special):
+            out[k] = np.array(self._one(texts[int(k)].as_py()), np.uint32)
         return out
