@@ -58,6 +58,12 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_rows(_table(spark, sf_dir, "documents"))
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substring_dedup import remove_repeats
+
+    return remove_repeats(_table(spark, sf_dir, "documents"))
+
+
 def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .pfor import tokens_roundtrip
 
@@ -72,6 +78,7 @@ QUERIES: dict[str, Query] = {
     "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
     "op7_url_filters": op7_url_filters,
     "op8_sharding": op8_sharding,
+    "op9_substring_dedup": op9_substring_dedup,
     "op10_token_output": op10_token_output,
 }
 
