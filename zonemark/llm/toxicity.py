@@ -7,7 +7,7 @@ The score compares the two log-likelihoods, divided by the length.
 
 * The n-gram counts come from every labelled text of the training folds: each task sums its own, Spark
   adds them up, and continuation counts are group-bys over the distinct n-grams.
-* Tables of discounts are indexed by a hash of the n-gram (``SLOTS`` of each order), so a model has a
+* Tables of discounts are indexed by a hash of the n-gram (``SLOTS``), so a model has a
   proven size whatever the corpus is, and documents are scored where they lie, without a shuffle.
 * A logistic curve from the compared likelihoods to a probability is fitted on labelled rows of a fold
   that the counts have not seen, ``CALIBRATION_ROWS`` of them at most, by smallest hash.
@@ -29,11 +29,13 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .storage import discard, stored
 
 ORDER, SHARED = 5, 2
-SLOTS = 1 << 21
+#: Slots of the tables of n-grams, by order.
+SLOTS = {2: 1 << 16, 3: 1 << 18, 4: 1 << 20, 5: 1 << 22}
 CALIBRATION_ROWS = 20_000
 FOLDS = 5
 
@@ -72,8 +74,9 @@ def _grams(sym: np.ndarray, order: int) -> np.ndarray:
     return g
 
 
-def slot(gram: np.ndarray, slots: int = SLOTS) -> np.ndarray:
-    """A hash of n-grams to slots."""
+def slot(gram: np.ndarray, order: int) -> np.ndarray:
+    """A hash of n-grams to the slots of their order."""
+    slots = SLOTS[order]
     x = gram.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     return (x >> np.uint64(64 - slots.bit_length() + 1)).astype(np.int64)
 
@@ -128,11 +131,44 @@ def _gram_batch(u: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(cols, ["gram", "n_toxic", "n_ordinary"])
 
 
+@dataclass
+class Table:
+    """Values of the slots that are used, [slot, class]; all others have ``rest``."""
+
+    order: int
+    at: np.ndarray
+    values: np.ndarray
+    rest: float
+
+    def dense(self) -> np.ndarray:
+        out = np.full((SLOTS[self.order], 2), self.rest, np.float32)
+        out[self.at] = self.values
+        return out
+
+
 @dataclass
 class Model:
-    """Per order above SHARED: own[k][slot, class] the discounted share, left[k][slot of the context,
-    class] the weight of the order below; base[pair of bytes]: the shared probability."""
+    """Per order above SHARED: own[k] the discounted share, left[k] for a context the weight of the order
+    below; base[pair of bytes]: the shared probability. What is sent to the tasks has the used slots only;
+    a worker lays them out on first use."""
+
+    own: dict[int, Table]
+    left: dict[int, Table]
+    base: np.ndarray
 
+    def open(self) -> "OpenModel":
+        if _OPEN.get("model") is not self:
+            _OPEN.clear()
+            opened = OpenModel({k: t.dense() for k, t in self.own.items()}, {k: t.dense() for k, t in self.left.items()}, self.base)
+            _OPEN.update(model=self, opened=opened)
+        return _OPEN["opened"]
+
+
+_OPEN: dict = {}
+
+
+@dataclass
+class OpenModel:
     own: dict[int, np.ndarray]
     left: dict[int, np.ndarray]
     base: np.ndarray
@@ -142,8 +178,8 @@ class Model:
         p = np.repeat(self.base[_grams(sym, SHARED).astype(np.int64)][:, None], 2, axis=1)
         for k in range(SHARED + 1, ORDER + 1):
             g = _grams(sym, k)
-            p *= self.left[k][slot(g >> np.uint64(8))]
-            p += self.own[k][slot(g)]
+            p *= self.left[k][slot(g >> np.uint64(8), k - 1)]
+            p += self.own[k][slot(g, k)]
         np.log(p, out=p)
         return p[:, 0] - p[:, 1]
 
@@ -156,28 +192,26 @@ def _discount(n1: int, n2: int) -> float:
     return n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
 
 
-def _table(rows: DataFrame, rest: float, how: str) -> np.ndarray:
-    """Rows (gram, a, b) as an array [slot, class]; n-grams that share a slot are merged by Spark, so
-    at most SLOTS rows are gathered."""
+def _table(rows: DataFrame, order: int, rest: float, how: str) -> Table:
+    """Rows (gram, a, b) by slot; n-grams that share a slot are merged by Spark, so
+    at most SLOTS[order] rows are gathered."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            s = slot(b.column(0).to_numpy(zero_copy_only=False))
+            s = slot(b.column(0).to_numpy(zero_copy_only=False), order)
             yield pa.RecordBatch.from_arrays([pa.array(s), b.column(1), b.column(2)], ["s", "a", "b"])
 
     merge = {"max": F.max, "avg": F.avg}[how]
     got = rows.mapInArrow(run, "s long, a double, b double").groupBy("s").agg(merge("a").alias("a"), merge("b").alias("b")).toArrow()
-    out = np.full((SLOTS, 2), rest, np.float32)
-    at = got.column("s").to_numpy()
-    out[at, 0], out[at, 1] = got.column("a").to_numpy(), got.column("b").to_numpy()
-    return out
+    values = np.stack([got.column(c).to_numpy().astype(np.float32) for c in "ab"], axis=1)
+    return Table(order, got.column("s").to_numpy().astype(np.uint32), values, rest)
 
 
 def fit(rows: DataFrame) -> Model:
     """A model of all rows (text, toxic 0/1)."""
     now = grams = stored(count_grams(rows), "grams")
-    own: dict[int, np.ndarray] = {}
-    left: dict[int, np.ndarray] = {}
+    own: dict[int, Table] = {}
+    left: dict[int, Table] = {}
     for k in range(ORDER, SHARED, -1):
         ones = now.agg(*[F.count(F.when(F.col(c) == n, 1)) for c in _CLASSES for n in (1, 2)]).first()
         d = dict(zip(_CLASSES, (_discount(ones[0], ones[1]), _discount(ones[2], ones[3]))))
@@ -187,8 +221,8 @@ def fit(rows: DataFrame) -> Model:
         )
         share = [F.when(F.col(c) > 0, (F.col(c) - F.lit(d[c])) / F.col(f"t_{c}")).otherwise(0.0) for c in _CLASSES]
         weight = [F.when(F.col(f"t_{c}") > 0, F.lit(d[c]) * F.col(f"k_{c}") / F.col(f"t_{c}")).otherwise(1.0) for c in _CLASSES]
-        own[k] = _table(both.join(ctx, "ctx").select("gram", *[x.alias(n) for x, n in zip(share, "ab")]), 0.0, "max")
-        left[k] = _table(ctx.select("ctx", *[x.alias(n) for x, n in zip(weight, "ab")]), 1.0, "avg")
+        own[k] = _table(both.join(ctx, "ctx").select("gram", *[x.alias(n) for x, n in zip(share, "ab")]), k, 0.0, "max")
+        left[k] = _table(ctx.select("ctx", *[x.alias(n) for x, n in zip(weight, "ab")]), k - 1, 1.0, "avg")
         mask = (1 << (8 * (k - 1))) - 1
         now = now.groupBy(F.col("gram").bitwiseAND(F.lit(mask)).alias("gram")).agg(*[F.count(F.when(F.col(c) > 0, 1)).alias(c) for c in _CLASSES])
     pairs = np.zeros(1 << 16)
@@ -203,14 +237,13 @@ def fit(rows: DataFrame) -> Model:
     return Model(own, left, base.ravel().astype(np.float32))
 
 
-def compared(rows: DataFrame, text_col: str, model: Model) -> DataFrame:
-    """``rows`` with llr double (the mean of the log ratios) and n_symbols long."""
-    held = rows.sparkSession.sparkContext.broadcast(model)  # of a fixed size: see SLOTS
+def compared(rows: DataFrame, text_col: str, held) -> DataFrame:
+    """``rows`` with llr double (the mean of the log ratios) and n_symbols long; held: a broadcast model."""
     at = rows.columns.index(text_col)
     keep = [c for c in rows.columns if c != text_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = held.value
+        m = held.value.open()
         for b in batches:
             llr, n = [], []
             for part in _slices(b.column(at), 2_000_000):
@@ -225,8 +258,8 @@ def compared(rows: DataFrame, text_col: str, model: Model) -> DataFrame:
                 [*keep, "llr", "n_symbols"],
             )
 
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema if f.name != text_col)
-    return rows.mapInArrow(run, f"{fields}, llr double, n_symbols long")
+    schema = T.StructType([f for f in rows.schema if f.name != text_col]).add("llr", "double").add("n_symbols", "long")
+    return rows.mapInArrow(run, schema)
 
 
 def _features(llr: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -254,10 +287,15 @@ def score_documents(
     text_col: str = "text",
     label_col: str = "toxic",
     max_broadcast_labels: int = 2_000_000,
+    with_row: bool = False,
 ) -> DataFrame:
-    """doc_id, held_out, score, predicted for every row of ``docs``; also llr and n_symbols."""
+    """doc_id, held_out, score, predicted for every row of ``docs``; also llr, n_symbols and, with
+    ``with_row``, the row as the struct ``row``."""
     ids = F.col(id_col).cast("long")
-    texts = docs.select(ids.alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    text = F.col(text_col).cast("string").alias("text")
+    texts = docs.select(ids.alias("doc_id"), text)
+    rows = docs.select(F.struct("*").alias("row"), ids.alias("doc_id"), text) if with_row else texts
+    row = ["row"] if with_row else []
     one = labels.filter(F.col(label_col).isin(0, 1)).groupBy(ids.alias("doc_id")).agg(F.min(label_col).alias("toxic"), F.max(label_col).alias("_hi"))
     one = stored(one.filter(F.col("toxic") == F.col("_hi")).drop("_hi").filter(fold(F.col("doc_id")) > 0), "labels")
     # without a shuffle of the texts while the labels are few enough
@@ -265,19 +303,20 @@ def score_documents(
     known = texts.filter(fold(F.col("doc_id")) > 0).join(side, "doc_id")
     held_out = (fold(F.col("doc_id")) == 0).alias("held_out")
     if one.select("toxic").distinct().count() < 2:
-        return texts.select(
-            "doc_id", held_out, F.lit(0.0).alias("score"), F.lit(0).alias("predicted"), F.lit(0.0).alias("llr"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_symbols")
-        )
+        size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
+        zero = [F.lit(0.0).alias("score"), F.lit(0).alias("predicted"), F.lit(0.0).alias("llr")]
+        return rows.select("doc_id", held_out, *zero, size.alias("n_symbols"), *row)
     model = fit(known.filter(fold(F.col("doc_id")) < FOLDS - 1).select("text", "toxic"))
+    held = docs.sparkSession.sparkContext.broadcast(model)  # at most SLOTS entries
     seen = known.filter(fold(F.col("doc_id")) == FOLDS - 1)
     few = one.filter(fold(F.col("doc_id")) == FOLDS - 1).orderBy(F.xxhash64("doc_id"), "doc_id").limit(CALIBRATION_ROWS).select("doc_id")
-    got = compared(seen.join(F.broadcast(few), "doc_id", "left_semi").select("toxic", "text"), "text", model).toArrow()
+    got = compared(seen.join(F.broadcast(few), "doc_id", "left_semi").select("toxic", "text"), "text", held).toArrow()
     if got.num_rows:
         w = calibrate(*(got.column(c).to_numpy().astype(float) for c in ("llr", "n_symbols", "toxic")))
     else:
         w = np.array([0.0, 1.0, 0.0, 0.0])
     f = [F.lit(1.0), F.col("llr") * 100, F.col("llr") * F.sqrt("n_symbols") * 10, F.log1p("n_symbols") / 10]
     z = sum((F.lit(float(a)) * b for a, b in zip(w[1:], f[1:])), F.lit(float(w[0])) * f[0])
-    out = compared(texts, "text", model)
+    out = compared(rows, "text", held)
     out = out.withColumn("score", 1 / (1 + F.exp(-z)))
-    return out.select("doc_id", held_out, "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "llr", "n_symbols")
+    return out.select("doc_id", held_out, "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "llr", "n_symbols", *row)
