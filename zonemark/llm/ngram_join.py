@@ -46,7 +46,6 @@ WIDTH, PERCENT = 5, 80
 WHOLE_UP_TO, HALF_FROM = 160, 128
 #: Sets of a cluster that one task takes; larger ones are cut.
 CLUSTER_SETS, PART_SETS = 4000, 1500
-_LOW40 = (1 << 40) - 1
 
 
 def shingle_sets(texts: pa.Array) -> Iterator[tuple[int, list[np.ndarray]]]:
@@ -82,6 +81,11 @@ def _row(kind: int, bucket: int, *cols: np.ndarray) -> tuple:
     return (kind, bucket, *[c.tobytes() for c in cols], *[b""] * (4 - len(cols)))
 
 
+def _home(ref: np.ndarray, buckets: int) -> np.ndarray:
+    """The bucket that what concerns a set goes to: the same for up to 256 sets of a task."""
+    return (mix((ref >> 8).astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+
+
 _PACKED = "kind int, bucket int, a binary, b binary, c binary, d binary"
 _DOC, _SET, _POST, _SHARED = 0, 1, 2, 3
 
@@ -106,30 +110,27 @@ def _postings(buckets: int):
             if ids:
                 rows.append(_row(_DOC, base % buckets, np.array(ids, np.int64), np.array(doc_n, np.int64), np.array(doc_key, np.int64)))
             if keys:
-                at = (base + first + np.arange(len(keys))) % buckets
                 cols = [np.array(x, np.int64) for x in (keys, sizes, view0, view1)]
                 refs = base + first + np.arange(len(keys))
+                at = _home(refs, buckets)
                 for b in np.unique(at):
                     m = at == b
                     rows.append(_row(_SET, int(b), refs[m], cols[0][m], cols[1][m], np.stack([cols[2][m], cols[3][m]])))
-                for view, toks, who in ((0, tok0, who0), (1, tok1, who1)):
-                    if not toks:
-                        continue
-                    t = np.concatenate(toks)
-                    w = np.repeat(np.array([x for x, _ in who], np.int64), [x for _, x in who])
-                    bk = ((t >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64)
-                    order = np.argsort(bk.astype(np.uint16 if buckets < 65536 else np.int64), kind="stable")
-                    t, w, bk = t[order], w[order].astype(np.uint16), bk[order]
-                    low = t.view(np.uint8).reshape(-1, 8)[:, :5]
-                    cut = np.flatnonzero(np.diff(bk, prepend=-1))
-                    for a, z in zip(cut, [*cut[1:], len(bk)]):
-                        rows.append(_row(_POST, int(bk[a]) + view * buckets, low[a:z], w[a:z], np.array([base + first], np.int64)))
+                t = np.concatenate(toks)
+                w = np.repeat(np.array([x for x, _ in who], np.int64), [x for _, x in who])
+                bk = (t >> np.uint64(41)).astype(np.int64) % buckets
+                order = np.argsort(bk.astype(np.uint16) if buckets < 65536 else bk, kind="stable")
+                t, w, bk = t[order], w[order].astype(np.uint16), bk[order]
+                low = t.view(np.uint8).reshape(-1, 8)[:, :5]
+                cut = np.flatnonzero(np.diff(bk, prepend=-1))
+                for a, z in zip(cut, [*cut[1:], len(bk)]):
+                    rows.append(_row(_POST, int(bk[a]), low[a:z], w[a:z], np.array([base + first], np.int64)))
             return _batch(rows) if rows else None
 
         def clear():
-            return [], [], [], [], [], [], [], [], [], [], [], nxt
+            return [], [], [], [], [], [], [], [], [], nxt
 
-        ids, doc_n, doc_key, keys, sizes, view0, view1, tok0, who0, tok1, who1, first = clear()
+        ids, doc_n, doc_key, keys, sizes, view0, view1, toks, who, first = clear()
         held = 0
         for b in batches:
             doc_ids = b.column(0).to_pylist()
@@ -149,21 +150,21 @@ def _postings(buckets: int):
                     keys.append(key)
                     sizes.append(n)
                     v = [0, 0]
-                    for view, toks in _views(n, s):
-                        v[view] = len(toks)
-                        (tok1 if view else tok0).append(toks)
-                        (who1 if view else who0).append((k, len(toks)))
-                        held += len(toks)
+                    for view, part in _views(n, s):
+                        v[view] = len(part)
+                        toks.append(part << np.uint64(1) | np.uint64(view))
+                        who.append((k, len(part)))
+                        held += len(part)
                     view0.append(v[0])
                     view1.append(v[1])
                     nxt += 1
                     if len(keys) >= 65_000 or held > 6_000_000:
                         yield flush()
-                        ids, doc_n, doc_key, keys, sizes, view0, view1, tok0, who0, tok1, who1, first = clear()
+                        ids, doc_n, doc_key, keys, sizes, view0, view1, toks, who, first = clear()
                         held = 0
                 if len(ids) > 500_000:
                     yield flush()
-                    ids, doc_n, doc_key, keys, sizes, view0, view1, tok0, who0, tok1, who1, first = clear()
+                    ids, doc_n, doc_key, keys, sizes, view0, view1, toks, who, first = clear()
                     held = 0
         last = flush()
         if last is not None:
@@ -206,7 +207,7 @@ def _count_shared(buckets: int):
                 df = np.repeat(n, n)
                 keep = df > 1
                 tok, ref, df = tok[keep] | bucket << 40, ref[keep], df[keep]
-                to = ref % buckets
+                to = _home(ref, buckets)
                 order = np.argsort(to, kind="stable")
                 to, tok, ref, df = to[order], tok[order], ref[order], np.minimum(df[order], 65535).astype(np.uint16)
                 cut = np.flatnonzero(np.diff(to, prepend=-1))
@@ -243,7 +244,7 @@ def _name(buckets: int):
                 ref, key, n, views = ref[order], key[order], n[order], views[:, order]
                 p, tok = (np.concatenate([np.frombuffer(r[c], np.int64) for r in post]) for c in (2, 3))
                 df = np.concatenate([np.frombuffer(r[4], np.uint16) for r in post])
-                who, view = np.searchsorted(ref, p), (tok >> 40) >= buckets
+                who, view = np.searchsorted(ref, p), (tok & 1).astype(bool)
                 for v in (0, 1):
                     m = view == bool(v)
                     w, t, d = who[m], tok[m], df[m]
@@ -316,7 +317,7 @@ def link_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     """doc_id, n_shingles, component_id for every row."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
-    buckets = max(16, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    buckets = max(16, int(spark.conf.get("spark.sql.shuffle.partitions")))
     packed = rows.mapInArrow(_postings(buckets), _PACKED).repartition("bucket").mapInArrow(_count_shared(buckets), _PACKED)
     named = stored(packed.repartition("bucket").mapInArrow(_name(buckets), _NAMED), "named")
     del packed
