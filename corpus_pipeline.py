@@ -1,11 +1,67 @@
-"""A corpus pipeline of five stages over ``documents``."""
+"""A pipeline over ``documents``: what toxicity scoring rejects goes, site boilerplate lines go, one
+document of each group of near duplicates stays, documents that hold benchmark items go, and the rest is
+packed into sequences.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir) and works on all that the one before it kept.  All but the last
+return the columns of ``documents``.  SQL cannot express the stages, so there is no ``ORACLE_SQL``; the
+tests hold them against brute force.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from zonemark.llm.decontaminate import clean
+from zonemark.llm.line_dedup import drop_boilerplate
+from zonemark.llm.ngram_join import link_documents
+from zonemark.llm.packing import pack_documents
+from zonemark.llm.storage import stored
+from zonemark.llm.toxicity import score_documents
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose score is below one half."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    scored = score_documents(docs, labels, with_row=True)
+    return scored.filter("predicted = 0").select("row.*")
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without their sites' boilerplate lines; ``n_chars`` follows the text."""
+    out = drop_boilerplate(docs, counts=True)
+    chars = F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
+    return out.withColumn("n_chars", chars).select(*docs.columns)
+
+
+def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each group that links of 0.8 or more connect."""
+    others = link_documents(docs).filter("doc_id <> component_id").select("doc_id").distinct()
+    return docs.join(others, "doc_id", "left_anti").select(*docs.columns)
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item within its error budget."""
+    return clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of the documents' ids in sequences of at most 4096 tokens."""
+    return pack_documents(docs)
+
+
+STAGES = [
+    ("toxicity", toxicity),
+    ("line_dedup", line_dedup),
+    ("ngram_jaccard_join", ngram_jaccard_join),
+    ("benchmark_decontamination", benchmark_decontamination),
+    ("packing", packing),
+]
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
