@@ -33,9 +33,9 @@ from pyspark.sql import types as T
 
 from .storage import discard, stored
 
-ORDER, SHARED = 5, 2
+ORDER, SHARED = 4, 2
 #: Slots of the tables of n-grams, by order.
-SLOTS = {2: 1 << 16, 3: 1 << 18, 4: 1 << 20, 5: 1 << 22}
+SLOTS = {2: 1 << 16, 3: 1 << 20, 4: 1 << 22}
 CALIBRATION_ROWS = 20_000
 FOLDS = 5
 
