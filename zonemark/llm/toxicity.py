@@ -35,7 +35,7 @@ from .storage import discard, stored
 
 ORDER, SHARED = 4, 2
 #: Slots of the tables of n-grams, by order.
-SLOTS = {2: 1 << 16, 3: 1 << 20, 4: 1 << 22}
+SLOTS = {2: 1 << 16, 3: 1 << 19, 4: 1 << 21}
 CALIBRATION_ROWS = 20_000
 FOLDS = 5
 
@@ -81,7 +81,7 @@ def slot(gram: np.ndarray, order: int) -> np.ndarray:
     return (x >> np.uint64(64 - slots.bit_length() + 1)).astype(np.int64)
 
 
-def _slices(texts: pa.Array, size: int = 4_000_000) -> Iterator[pa.Array]:
+def _slices(texts: pa.Array, size: int = 1_000_000) -> Iterator[pa.Array]:
     n = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
     lo = 0
     while lo < len(texts):
@@ -115,9 +115,9 @@ def count_grams(rows: DataFrame) -> DataFrame:
                 n1 = np.bincount(at, t, len(u))
                 held.append((u, n1, np.bincount(at, minlength=len(u)) - n1))
                 lo += len(part)
-                if sum(len(h[0]) for h in held) > 2_000_000:
+                if sum(len(h[0]) for h in held) > 1_000_000:
                     held = [merged()]
-                    if len(held[0][0]) > 1_000_000:
+                    if len(held[0][0]) > 500_000:
                         yield _gram_batch(*held.pop())
         if held:
             yield _gram_batch(*merged())
@@ -238,25 +238,28 @@ def fit(rows: DataFrame) -> Model:
 
 
 def compared(rows: DataFrame, text_col: str, held) -> DataFrame:
-    """``rows`` with llr double (the mean of the log ratios) and n_symbols long; held: a broadcast model."""
-    at = rows.columns.index(text_col)
+    """``rows`` with llr double (the mean of the log ratios) and n_symbols long; held: a broadcast model.
+    The text is a column, which then goes, or a field of the struct ``row``, which stays."""
+    inside = text_col not in rows.columns
+    at = rows.columns.index("row" if inside else text_col)
     keep = [c for c in rows.columns if c != text_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value.open()
+
+        def text_of(b: pa.RecordBatch) -> pa.Array:
+            return pc.struct_field(b.column(at), text_col).cast(pa.string()) if inside else b.column(at)
+
         for b in batches:
-            llr, n = [], []
-            for part in _slices(b.column(at), 2_000_000):
+            llr, n = [np.empty(0)], [np.empty(0, np.int64)]
+            for part in _slices(text_of(b)):
                 sym, bounds = _symbols(part)
                 total = np.concatenate([[0.0], np.cumsum(m.compare(sym), dtype=np.float64)])
                 lens = np.diff(bounds) - (ORDER - 1)
                 llr.append((total[bounds[1:]] - total[bounds[:-1] + ORDER - 1]) / np.maximum(lens, 1))
                 n.append(lens)
-            cols = [b.column(k) for k in range(b.num_columns) if k != at]
-            yield pa.RecordBatch.from_arrays(
-                [*cols, pa.array(np.concatenate(llr) if llr else np.empty(0)), pa.array(np.concatenate(n) if n else np.empty(0, np.int64))],
-                [*keep, "llr", "n_symbols"],
-            )
+            cols = [b.column(k) for k in range(b.num_columns) if inside or k != at]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(np.concatenate(llr)), pa.array(np.concatenate(n))], [*keep, "llr", "n_symbols"])
 
     schema = T.StructType([f for f in rows.schema if f.name != text_col]).add("llr", "double").add("n_symbols", "long")
     return rows.mapInArrow(run, schema)
@@ -294,7 +297,7 @@ def score_documents(
     ids = F.col(id_col).cast("long")
     text = F.col(text_col).cast("string").alias("text")
     texts = docs.select(ids.alias("doc_id"), text)
-    rows = docs.select(F.struct("*").alias("row"), ids.alias("doc_id"), text) if with_row else texts
+    rows = docs.select(F.struct("*").alias("row"), ids.alias("doc_id")) if with_row else texts
     row = ["row"] if with_row else []
     one = labels.filter(F.col(label_col).isin(0, 1)).groupBy(ids.alias("doc_id")).agg(F.min(label_col).alias("toxic"), F.max(label_col).alias("_hi"))
     one = stored(one.filter(F.col("toxic") == F.col("_hi")).drop("_hi").filter(fold(F.col("doc_id")) > 0), "labels")
@@ -303,7 +306,7 @@ def score_documents(
     known = texts.filter(fold(F.col("doc_id")) > 0).join(side, "doc_id")
     held_out = (fold(F.col("doc_id")) == 0).alias("held_out")
     if one.select("toxic").distinct().count() < 2:
-        size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
+        size = F.coalesce(F.octet_length(F.col("row")[text_col].cast("string") if with_row else F.col("text")), F.lit(0)).cast("long")
         zero = [F.lit(0.0).alias("score"), F.lit(0).alias("predicted"), F.lit(0.0).alias("llr")]
         return rows.select("doc_id", held_out, *zero, size.alias("n_symbols"), *row)
     model = fit(known.filter(fold(F.col("doc_id")) < FOLDS - 1).select("text", "toxic"))
@@ -317,6 +320,6 @@ def score_documents(
         w = np.array([0.0, 1.0, 0.0, 0.0])
     f = [F.lit(1.0), F.col("llr") * 100, F.col("llr") * F.sqrt("n_symbols") * 10, F.log1p("n_symbols") / 10]
     z = sum((F.lit(float(a)) * b for a, b in zip(w[1:], f[1:])), F.lit(float(w[0])) * f[0])
-    out = compared(rows, "text", held)
+    out = compared(rows, text_col if with_row else "text", held)
     out = out.withColumn("score", 1 / (1 + F.exp(-z)))
     return out.select("doc_id", held_out, "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "llr", "n_symbols", *row)
