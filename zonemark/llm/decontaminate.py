@@ -26,6 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .memory import lean
+
 ERROR_RATE, MIN_CHARS = 0.08, 16
 MAX_BLOCK_CHARS = 16_000_000
 GROUP = 4
@@ -158,7 +160,7 @@ def with_hits(
     for k in range(blocks):
         part = items.filter(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == k) if blocks > 1 else items
         held = spark.sparkContext.broadcast([(r["i"], r["t"]) for r in part.collect()])  # bounded by max_block_chars
-        out = out.mapInArrow(_searcher(held, rate, min_chars), out.schema)
+        out = out.mapInArrow(lean(_searcher(held, rate, min_chars)), out.schema)
     return out.select("row", F.coalesce("hits", F.array().cast(_HITS)).alias("hits"))
 
 

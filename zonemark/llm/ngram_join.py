@@ -37,6 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
+from .memory import lean
 from .signature_tree import Links, SignatureTree
 from .storage import discard, release, stored
 from .tokens import ragged
@@ -158,7 +159,7 @@ def _postings(buckets: int):
                     view0.append(v[0])
                     view1.append(v[1])
                     nxt += 1
-                    if len(keys) >= 65_000 or held > 6_000_000:
+                    if len(keys) >= 65_000 or held > 2_500_000:
                         yield flush()
                         ids, doc_n, doc_key, keys, sizes, view0, view1, toks, who, first = clear()
                         held = 0
@@ -318,8 +319,8 @@ def link_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
     buckets = max(16, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    packed = rows.mapInArrow(_postings(buckets), _PACKED).repartition("bucket").mapInArrow(_count_shared(buckets), _PACKED)
-    named = stored(packed.repartition("bucket").mapInArrow(_name(buckets), _NAMED), "named")
+    packed = rows.mapInArrow(lean(_postings(buckets)), _PACKED).repartition("bucket").mapInArrow(lean(_count_shared(buckets)), _PACKED)
+    named = stored(packed.repartition("bucket").mapInArrow(lean(_name(buckets)), _NAMED), "named")
     del packed
     release(spark)
     infos = named.filter("tok is null").select("doc", "n", "key")
@@ -331,7 +332,7 @@ def link_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     first = stored(_groups(first, cluster_sets, part_sets), "groups")
     side = F.broadcast(first) if first.count() <= 500_000 else first
     texts = rows.filter("doc is not null").join(side, "doc").select("group", "key", "text")
-    found = texts.repartition("group").sortWithinPartitions("group").mapInArrow(_link_clusters, "a long, b long")
+    found = texts.repartition("group").sortWithinPartitions("group").mapInArrow(lean(_link_clusters), "a long, b long")
     found = stored(found.distinct(), "links")
     release(spark)
     sets = stored(components(found), "linked")

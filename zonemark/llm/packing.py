@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .memory import lean
 from .tokens import default_path, tokenizer_for
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -222,4 +223,4 @@ def pack_documents(
             yield _rows(doc_ids, ids, prompts, limits, nxt)[0]
 
     prompt = F.col(prompt_col).cast("long") if prompt_col else F.lit(0).cast("long")
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"), prompt).mapInArrow(run, SCHEMA)
+    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"), prompt).mapInArrow(lean(run), SCHEMA)

@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .memory import lean
 from .storage import shared_folder
 from .tokens import default_path, ragged, tokenizer_for
 
@@ -204,7 +205,7 @@ def write_tokens(
 
     rows = docs.select(F.col(id_col).cast("long").alias("i"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"))
     rows.repartitionByRange("i").sortWithinPartitions("i", "t").mapInArrow(
-        run, "part long, segment long, ids_before long, n_ids long, data binary"
+        lean(run), "part long, segment long, ids_before long, n_ids long, data binary"
     ).write.option("compression", "none").parquet(path)
 
 
@@ -231,7 +232,7 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
                     ["doc_id", "start", "n_tokens", "ids_crc32"],
                 )
 
-    return files.select("part", "ids_before", "data").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return files.select("part", "ids_before", "data").mapInArrow(lean(run), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def tokens_roundtrip(docs: DataFrame, **options) -> DataFrame:

@@ -37,6 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .memory import lean
 from .storage import release, stored
 from .tokens import ragged
 from .words import Words, _powers, fingerprints, mix, runs, slices
@@ -356,8 +357,8 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     parts = min(MAX_PARTS, max(8, int(spark.conf.get("spark.sql.shuffle.partitions"))))
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
     rows = rows.withColumn("part", F.pmod(F.xxhash64("doc"), F.lit(parts)).cast("int"))
-    posted = rows.filter("doc is not null and text is not null").select("part", "text").mapInArrow(_post_anchors(parts), "bucket int, data binary")
-    shared = stored(posted.repartition("bucket").mapInArrow(_shared_anchors, "part int, bucket int, data binary"), "shared")
+    posted = rows.filter("doc is not null and text is not null").select("part", "text").mapInArrow(lean(_post_anchors(parts)), "bucket int, data binary")
+    shared = stored(posted.repartition("bucket").mapInArrow(lean(_shared_anchors), "part int, bucket int, data binary"), "shared")
     release(spark)
 
     def dealt(replies: DataFrame | None) -> DataFrame:
@@ -371,7 +372,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
             all_rows = all_rows.unionByName(t)
         return all_rows.repartition("part").sortWithinPartitions("part", "kind")
 
-    windows = dealt(None).mapInArrow(_post_windows(parts), "bucket int, part int, h binary, doc binary")
-    replies = stored(windows.repartition("bucket").mapInArrow(_reply, "part int, bucket int, data binary"), "replies")
+    windows = dealt(None).mapInArrow(lean(_post_windows(parts)), "bucket int, part int, h binary, doc binary")
+    replies = stored(windows.repartition("bucket").mapInArrow(lean(_reply), "part int, bucket int, data binary"), "replies")
     release(spark)
-    return dealt(replies).mapInArrow(_remove(parts, with_text), RESULT + (", kept string" if with_text else ""))
+    return dealt(replies).mapInArrow(lean(_remove(parts, with_text)), RESULT + (", kept string" if with_text else ""))

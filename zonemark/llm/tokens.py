@@ -54,7 +54,7 @@ def whole(texts: pa.Array) -> pa.Array:
 class ChunkTokenizer:
     """For tokenizers that lower-case and whose pre-tokenizer splits off white space and punctuation."""
 
-    def __init__(self, path: str, max_known: int = 600_000) -> None:
+    def __init__(self, path: str, max_known: int = 300_000) -> None:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core

@@ -31,6 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .memory import lean
 from .storage import discard, stored
 
 ORDER, SHARED = 4, 2
@@ -122,7 +123,7 @@ def count_grams(rows: DataFrame) -> DataFrame:
         if held:
             yield _gram_batch(*merged())
 
-    part = rows.select("text", "toxic").mapInArrow(run, "gram long, n_toxic long, n_ordinary long")
+    part = rows.select("text", "toxic").mapInArrow(lean(run), "gram long, n_toxic long, n_ordinary long")
     return part.groupBy("gram").agg(F.sum("n_toxic").alias("n_toxic"), F.sum("n_ordinary").alias("n_ordinary"))
 
 
@@ -262,7 +263,7 @@ def compared(rows: DataFrame, text_col: str, held) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*cols, pa.array(np.concatenate(llr)), pa.array(np.concatenate(n))], [*keep, "llr", "n_symbols"])
 
     schema = T.StructType([f for f in rows.schema if f.name != text_col]).add("llr", "double").add("n_symbols", "long")
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(lean(run), schema)
 
 
 def _features(llr: np.ndarray, n: np.ndarray) -> np.ndarray:
