@@ -76,10 +76,11 @@ def uk_field(v: Column, k: int) -> Column:
 def _shown(v: Column, k: int) -> Column:
     f = uk_field(v, k)
     if k == 0:
-        return F.when((f >= 1) & (f <= len(UK_AREAS)), F.trim(F.substring(F.lit(_WIDE), ((f - 1) * 4 + 2).cast("int"), F.lit(2)))).otherwise("?")
+        area = F.trim(F.substring(F.lit(_WIDE), ((f - 1) * 4 + 2).cast("int"), F.lit(2)))
+        return F.when((f >= 1) & (f <= len(UK_AREAS)), area).when(f.isNotNull(), "?")
     base, top = (64, 27) if k > 3 else (47, 11)
     ok = (f <= top) if k != 2 else ((f <= top) | ((f >= 18) & (f <= 44)))
-    return F.when(f == 0, "").when(ok, F.chr(f + base)).otherwise("?")
+    return F.when(f == 0, "").when(ok, F.chr(f + base)).when(f.isNotNull(), "?")
 
 
 def uk_render(v: Column) -> Column:

@@ -245,7 +245,7 @@ class Registry:
         """Every ISO country with its format; names come from the JVM's own list of countries."""
         locale = spark.sparkContext._jvm.java.util.Locale
         iso = sorted({*locale.getISOCountries(), "XK"})
-        names = [(c, locale.of("en", c).getDisplayCountry(locale.ENGLISH)) for c in iso]
+        names = [(c, locale("en", c).getDisplayCountry(locale.ENGLISH)) for c in iso]
         base = spark.createDataFrame(names, "iso2 string, name string")
         latest = self.languages_frame(spark).withColumn("_r", F.row_number().over(Window.partitionBy("iso2").orderBy(F.desc("version")))).filter("_r = 1")
         out = base.join(self.country_formats(spark), "iso2", "left").join(latest.select("iso2", "source"), "iso2", "left")
