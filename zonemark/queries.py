@@ -274,12 +274,12 @@ def dps_validate(spark, d):
 
 
 @query(
-    f"""SELECT t, row_number() OVER (ORDER BY t) AS v FROM (SELECT DISTINCT upper({_DPS}) AS t FROM {src(*PART)})
+    f"""SELECT t, row_number() OVER (ORDER BY t) AS place FROM (SELECT DISTINCT upper({_DPS}) AS t FROM {src(*PART)})
         WHERE regexp_full_match(t, '[1-9][{UK_UNIT_LETTERS}]')"""
 )
 def dps_order(spark, d):
     v = table(spark, d, PART).select(uk.dps_parse(F.lower(F.expr(_DPS.replace("//", " div ")))).alias("v")).filter("v is not null").distinct()
-    return v.select(uk.dps_to_text(F.col("v")).alias("t"), F.col("v").cast("long").alias("v"))
+    return v.select(uk.dps_to_text(F.col("v")).alias("t"), F.row_number().over(Window.orderBy("v")).cast("long").alias("place"))
 
 
 @query(f"SELECT k, 'US-' || {US} AS code FROM {src(*SUPPLIER)}")
