@@ -29,9 +29,8 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without their sites' boilerplate lines; ``n_chars`` follows the text."""
-    out = drop_boilerplate(docs, counts=True)
-    chars = F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
-    return out.withColumn("n_chars", chars).select(*docs.columns)
+    chars = F.coalesce(F.length("text").cast("long"), F.col("n_chars"))
+    return drop_boilerplate(docs).withColumn("n_chars", chars)
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
