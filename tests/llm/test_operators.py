@@ -116,6 +116,14 @@ def test_tokens_are_the_tokenizers(corpus, raw_tokens):
     assert [x.tolist() for x in tok.encode(pa.array(odd))] == [tok.raw.encode(x or "", add_special_tokens=False).ids for x in odd]
 
 
+def test_tokens_of_random_texts():
+    rng = random.Random(3)
+    letters = list("abcdeZÉéßİ'.,!?-_#$%&*()[]{}<>|~`^@+=/\\\"0123 \n\t \u0308\u0958é日本ſªσς½")
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 60))) for _ in range(8000)]
+    tok = tokens.ChunkTokenizer(tokens.default_path())
+    assert all(a.tolist() == tok.raw.encode(b, add_special_tokens=False).ids for a, b in zip(tok.encode(pa.array(texts)), texts))
+
+
 @pytest.mark.parametrize("limits", [packing.Limits(), packing.Limits(256, 4, 200, 50), packing.Limits(64, 2, 64, 1000)])
 def test_packing_keeps_every_id_within_the_limits(spark, docs, raw_tokens, limits):
     rows = packing.pack_documents(docs, limits=limits).collect()

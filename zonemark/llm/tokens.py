@@ -2,8 +2,8 @@
 
 The tokenizer's pre-tokenizer drops white space and never joins across it, so the ids of a text are
 the ids of its white-space separated chunks, one after the other.  Arrow splits a batch and numbers
-its distinct chunks; only those are encoded.  Most are letters with perhaps one mark after them: the
-pre-tokenizer parts the mark from the letters, and a run of letters is one unit that ends with the one
+its distinct chunks; only those are encoded.  Most are letters with perhaps marks after them: the
+pre-tokenizer parts the marks from the letters, and a run of letters is one unit that ends with the one
 end-of-word token, so many runs are encoded in one call and told apart by those tokens.  A worker keeps
 the ids of the letter runs it has seen, up to ``max_known``; then it starts afresh, so memory stays
 bounded and the result does not depend on what is kept.
@@ -11,12 +11,14 @@ bounded and the result does not depend on what is kept.
 
 from __future__ import annotations
 
+import unicodedata
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 _TOKENIZERS: dict[str, "ChunkTokenizer"] = {}
-_MARKS = ".,;:!?"
+_MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _JOIN = 200
 
 
@@ -51,6 +53,11 @@ def whole(texts: pa.Array) -> pa.Array:
     return pa.LargeStringArray.from_buffers(len(texts), pa.py_buffer(off - off[0]), data)
 
 
+def _stays_letters(run: str) -> bool:
+    """Whether the tokenizer's normaliser leaves nothing but letters."""
+    return unicodedata.normalize("NFC", run).lower().isalpha()
+
+
 class ChunkTokenizer:
     """For tokenizers that lower-case and whose pre-tokenizer splits off white space and punctuation."""
 
@@ -65,11 +72,6 @@ class ChunkTokenizer:
         vocab = self.raw.get_vocab()
         self.ends_word = np.zeros(max(vocab.values()) + 1, bool)
         self.ends_word[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
-        mark_ids = [self._one(m) for m in _MARKS]
-        self.mark_ids = np.array([0, *(m[0] for m in mark_ids)], np.uint32)
-        self.marks = {m: k + 1 for k, m in enumerate(_MARKS)}
-        if any(len(m) != 1 for m in mark_ids):
-            raise ValueError("a mark is more than one token")
         self._forget()
 
     def _one(self, text: str) -> list[int]:
@@ -111,7 +113,7 @@ class ChunkTokenizer:
     def _learn_others(self, chunks: list[str]) -> None:
         for lo in range(0, len(chunks), 20_000):
             part = chunks[lo : lo + 20_000]
-            ids = [e.ids for e in self.raw.encode_batch_fast(part, add_special_tokens=False)]
+            ids = [e.ids for e in self.raw.encode_batch_fast([c.removeprefix(" ") for c in part], add_special_tokens=False)]
             lens = np.fromiter(map(len, ids), np.int64, len(ids))
             self._add(part, np.fromiter((i for x in ids for i in x), np.uint32, int(lens.sum())), lens)
 
@@ -119,33 +121,38 @@ class ChunkTokenizer:
         """(ids, how many) of each chunk."""
         if len(self.known) > self.max_known:
             self._forget()
-        known, marks = self.known, self.marks
-        stems, mark = chunks.copy(), np.zeros(len(chunks), np.int64)
-        runs: set[str] = set()
-        others: set[str] = set()
+        known, tails = self.known, {"": 0}
+        at, tail = np.empty(len(chunks), np.int64), np.zeros(len(chunks), np.int64)
+        runs: dict[str, None] = {}
+        others: dict[str, None] = {}
+        late: list[tuple[int, str]] = []
         for k, c in enumerate(chunks):
-            if c in known:
-                continue
-            if c.isalpha():
-                runs.add(c)
-                continue
-            m = marks.get(c[-1:])
-            if m and (s := c[:-1]).isalpha():
-                stems[k], mark[k] = s, m
-                if s not in known:
-                    runs.add(s)
+            s = c.rstrip(_MARKS)
+            i = known.get(s)
+            if i is None and (not s.isalpha() or not (s.isascii() or _stays_letters(s))):
+                s = " " + c  # as a whole; no chunk has a space
+                i = known.get(s)
+            elif len(s) < len(c):
+                tail[k] = tails.setdefault(c[len(s) :], len(tails))
+            if i is None:
+                (others if s[0] == " " else runs)[s] = None
+                late.append((k, s))
             else:
-                others.add(c)
+                at[k] = i
         self._learn_runs(list(runs))
         self._learn_others(list(others))
-        at = np.fromiter(map(known.__getitem__, stems), np.int64, len(stems))
-        lens = self.len[at]
-        total = lens + (mark > 0)
-        out = np.zeros(int(total.sum()), np.uint32)
+        for k, s in late:
+            at[k] = known[s]
+        # marks behind a run of letters are one unit of the pre-tokenizer
+        tail_ids = [self._one(t) if t else [] for t in tails]
+        tail_len = np.array([len(t) for t in tail_ids])
+        tail_flat = np.array([i for t in tail_ids for i in t], np.uint32)
+        lens, more = self.len[at], tail_len[tail]
+        total = lens + more
+        out = np.empty(int(total.sum()), np.uint32)
         first = np.cumsum(total) - total
         out[ragged(first, lens)] = self.flat[ragged(self.start[at], lens)]
-        has = mark > 0
-        out[(first + lens)[has]] = self.mark_ids[mark[has]]
+        out[ragged(first + lens, more)] = tail_flat[ragged((np.cumsum(tail_len) - tail_len)[tail], more)]
         return out, total
 
     def encode(self, texts: pa.Array) -> list[np.ndarray]:
