@@ -26,7 +26,7 @@ def keyed(spark):
 def test_columns_agree_with_python(keyed):
     rows = keyed.select("*", C.to_text("key").alias("t"), C.outcode("key").alias("o"), C.is_valid_postal_code("code", F.col("cc")).alias("ok"), C.receive(C.send("key")).alias("b")).collect()
     for r in rows:
-        want = None if r.code is None else R.parse(r.code, r.cc)
+        want = None if r.code is None else R.parse(r.code, r.cc, bounds=False)
         assert r.key == want and r.b == r.key, r
         assert r.ok == (None if r.code is None else want is not None)
         if want is not None:
@@ -34,8 +34,22 @@ def test_columns_agree_with_python(keyed):
 
 
 def test_strict_forms_raise(spark):
-    with pytest.raises(Exception, match="cannot parse"):
-        spark.range(1).select(C.postal_code(F.lit("US-ABC"))).collect()
+    for text, cc, why in (
+        ("US-ABC", None, 'cannot parse "ABC" as a US postal code'),
+        ("NL-0", None, 'cannot parse "0" as a NL postal code'),
+        ("90210", None, '"90210" has no country'),
+        ("US-90210", "CA", 'country code "CA" does not match the "US-" prefix of "US-90210"'),
+        ("QQ-1", None, '"QQ" is not a supported country code'),
+        ("US-~", None, 'cannot parse "~" as a US postal code'),
+    ):
+        with pytest.raises(Exception, match=why):
+            spark.range(1).select(C.postal_code(F.lit(text), cc)).collect()
+    with pytest.raises(Exception, match='"U1" is not a two-letter country code'):
+        spark.range(1).select(C.postal_code(F.lit("1"), F.lit("U1"))).collect()
+    for bad, why in ((uk.uk_cast(F.lit("LS")), "type postcode"), (uk.dps_cast(F.lit("0A")), "type dps"), (uk.uk_show(F.lit(-1).cast("long")), "corrupted")):
+        with pytest.raises(Exception, match=why):
+            spark.range(1).select(bad).collect()
+    assert spark.range(1).select(C.to_text(C.to_postal_code(F.lit("us-~"), bounds=True))).first()[0] == "US-~"
     with pytest.raises(Exception, match='"CA" does not match the column'):
         spark.range(1).select(C.enforce(F.lit(R.parse("CA-K1A")), "US")).collect()
 

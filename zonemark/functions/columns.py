@@ -242,15 +242,17 @@ def _split_tidy(t: Column, cc: Column | str | None) -> Column:
     return both(c, F.when(prefixed, rest).otherwise(t))
 
 
-def to_postal_code(code: ColumnOrName, cc: Column | str | None = None, registry: Registry | None = None) -> Column:
-    """The key of a text, or null. ``cc``: a country code as a str, a Column, or None (the text says it)."""
+def to_postal_code(code: ColumnOrName, cc: Column | str | None = None, registry: Registry | None = None, bounds: bool = False) -> Column:
+    """The key of a text, or null. ``cc``: a country code as a str, a Column, or None (the text says it).
+    With ``bounds`` also the end of a country, written ``CC-~``, which is a bound and no code."""
     reg = registry or world_registry()
     names = {reg.format_name(cc.upper())} if isinstance(cc, str) else {reg.format_name(x) for x in reg.countries()}
     own = {n: [x for x in reg.countries() if reg.format_name(x) == n] for n in names}
 
     def key(x: Column) -> Column:
         c, national = x["c"], x["t"]
-        out = F.when((national == "~") & c.isin(reg.countries()), assemble(c, END_TAG, F.lit(0).cast("long")))
+        end = assemble(c, END_TAG, F.lit(0).cast("long")) if bounds else F.lit(None).cast("long")
+        out = F.when((national == "~") & c.isin(reg.countries()), end)
         for name in [n for n in FORMAT_TAGS if n in names]:
             out = out.when(c.isin(own[name]), assemble(c, FORMAT_TAGS[name], _first(name, national, c)))
         return out
@@ -267,8 +269,35 @@ def to_postal_code(code: ColumnOrName, cc: Column | str | None = None, registry:
 def postal_code(code: ColumnOrName, cc: Column | str | None = None, registry: Registry | None = None) -> Column:
     """As to_postal_code, but input that is no code raises an error. For projections, not for filters."""
     text = _col(code)
-    why = F.concat(F.lit('cannot parse "'), text, F.lit('" as a postal code'))
-    return F.when(text.isNull(), F.lit(None).cast("long")).otherwise(F.coalesce(to_postal_code(text, cc, registry), F.raise_error(why).cast("long")))
+    fail = F.raise_error(_why(text, cc, registry or world_registry())).cast("long")
+    return F.when(text.isNull(), F.lit(None).cast("long")).otherwise(F.coalesce(to_postal_code(text, cc, registry), fail))
+
+
+def _why(code: Column, cc: Column | str | None, reg: Registry) -> Column:
+    """What is wrong with a text that is no code."""
+    given = F.lit(cc).cast("string") if cc is None or isinstance(cc, str) else cc
+    quote = lambda x: F.concat(F.lit('"'), x, F.lit('"'))
+
+    def say(t: Column) -> Column:
+        prefixed = t.rlike("^[A-Za-z]{2}-")
+        own = F.substring(t, 1, 2)
+        c = fold(F.when(prefixed, own).otherwise(given))
+        compiled = F.when(F.lit(False), F.lit(""))
+        for name in FORMAT_TAGS:
+            compiled = compiled.when(c.isin([x for x in reg.countries() if reg.format_name(x) == name]), name)
+        national = F.when(prefixed, F.substring(t, 4, 1 << 30)).otherwise(t)
+        return (
+            F.when(given.isNotNull() & ~given.rlike(r"^[A-Za-z]{2}\z"), F.concat(quote(given), F.lit(" is not a two-letter country code")))
+            .when(
+                prefixed & given.isNotNull() & (fold(own) != fold(given)),
+                F.concat(F.lit("country code "), quote(given), F.lit(" does not match the "), quote(F.substring(t, 1, 3)), F.lit(" prefix of "), quote(t)),
+            )
+            .when(~prefixed & given.isNull(), F.concat(quote(t), F.lit(' has no country: no "CC-" prefix, and no country code was given')))
+            .when(~c.isin(reg.countries()), F.concat(quote(c), F.lit(" is not a supported country code")))
+            .otherwise(F.concat(F.lit("cannot parse "), quote(national), F.lit(" as a "), F.coalesce(compiled.otherwise(None), c), F.lit(" postal code")))
+        )
+
+    return let(tidy(code), say)
 
 
 def is_valid_postal_code(code: ColumnOrName, cc: Column | str | None = None, registry: Registry | None = None) -> Column:

@@ -65,6 +65,12 @@ def uk_parse(text: Column, partial: bool = False) -> Column:
     return uk_native(fold(text), partial)
 
 
+def uk_cast(text: Column) -> Column:
+    """As uk_parse for whole postcodes, but other text is an error. For projections, not for filters."""
+    fail = F.raise_error(F.lit("cannot parse input for type postcode")).cast("long")
+    return F.when(text.isNotNull(), F.coalesce(uk_parse(text), fail))
+
+
 def uk_validate(text: Column) -> Column:
     return F.when(text.isNotNull(), uk_parse(text).isNotNull())
 
@@ -101,6 +107,11 @@ def uk_to_text(v: Column) -> Column:
     return F.when(uk_bits_ok(v), uk_render(v))
 
 
+def uk_show(v: Column) -> Column:
+    """As uk_to_text, but bits that are no postcode's are an error."""
+    return F.when(v.isNotNull(), F.coalesce(uk_to_text(v), F.raise_error(F.lit("cannot render corrupted binary data to text")).cast("string")))
+
+
 # ---- fragments ------------------------------------------------------------------------------------------
 
 
@@ -211,6 +222,11 @@ def dps_parse(text: Column) -> Column:
     return F.when(ok, n.cast("short"))
 
 
+def dps_cast(text: Column) -> Column:
+    fail = F.raise_error(F.lit("cannot parse input for type dps")).cast("short")
+    return F.when(text.isNotNull(), F.coalesce(dps_parse(text), fail))
+
+
 def dps_validate(text: Column) -> Column:
     return F.when(text.isNotNull(), dps_parse(text).isNotNull())
 

@@ -74,14 +74,14 @@ class Registry:
 
     # ---- codes ------------------------------------------------------------------------------------------
 
-    def parse(self, code: str, cc: str | None = None) -> int | None:
-        """The key of a text, or None."""
+    def parse(self, code: str, cc: str | None = None, bounds: bool = True) -> int | None:
+        """The key of a text, or None; with ``bounds`` also of a country's end, written ``CC-~``."""
         country, national = codes.split_country(codes.tidy(code), cc)
         fmt = self.format(country) if country else None
         if fmt is None:
             return None
         if national == "~":
-            return codes.end_of(country)
+            return codes.end_of(country) if bounds else None
         for s in codes.spellings(national, country):
             p = fmt.parse(s)
             if p is not None:
@@ -89,7 +89,7 @@ class Registry:
         return None
 
     def parse_strict(self, code: str, cc: str | None = None) -> int:
-        key = self.parse(code, cc)
+        key = self.parse(code, cc, bounds=False)
         if key is not None:
             return key
         t = codes.tidy(code)
@@ -129,8 +129,6 @@ class Registry:
         fmt = self.format(country) if country else None
         if fmt is None:
             return None
-        if national == "":
-            return codes.assemble(country, 0, 0), codes.end_of(country)
         for s in codes.spellings(national, country):
             got = fmt.span(s)
             if got:

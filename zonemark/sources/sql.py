@@ -52,9 +52,9 @@ def register(spark: SparkSession, registry: Registry | None = None) -> list[str]
         names.append(name)
 
     text, key, flag = (pa.string(), "string"), (pa.int64(), "bigint"), (pa.bool_(), "boolean")
-    two("to_postal_code", reg.parse, *key, (True, False))
+    two("to_postal_code", lambda c, cc: reg.parse(c, cc, bounds=False), *key, (True, False))
     two("postal_code", reg.parse_strict, *key, (True, False))
-    two("is_valid_postal_code", lambda c, cc: reg.parse(c, cc) is not None, *flag, (True, False))
+    two("is_valid_postal_code", lambda c, cc: reg.parse(c, cc, bounds=False) is not None, *flag, (True, False))
     one("postal_text", reg.text, *text)
     one("outcode", reg.outcode, *key)
     one("lower_bound", lambda f: reg.prefix_strict(f)[0], *key)
