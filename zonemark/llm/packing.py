@@ -39,7 +39,7 @@ class Limits:
     max_tokens: int = 4096
     max_segments: int = 256
     max_loss_tokens: int = 4096
-    block_items: int = 8192
+    block_items: int = 4096
 
 
 @dataclass
@@ -215,7 +215,7 @@ def pack_documents(
                 prompts += pro[lo : lo + 5000]
                 ids += enc
                 held += sum(map(len, enc))
-                if len(ids) >= limits.block_items or held > 16_000_000:
+                if len(ids) >= limits.block_items or held > 6_000_000:
                     out, nxt = _rows(doc_ids, ids, prompts, limits, nxt)
                     yield out
                     doc_ids, ids, prompts, held = [], [], [], 0

@@ -138,7 +138,7 @@ def _post_anchors(buckets: int):
                 a, lo, _ = anchors(w)
                 doc = np.searchsorted(w.bounds, lo, "right") - 1
                 held.append(_anchor_ids(a, buckets) << np.uint64(14) | part[at + doc])
-                if sum(map(len, held)) > 4_000_000:
+                if sum(map(len, held)) > 2_000_000:
                     yield flush()
                     held = []
         if sum(map(len, held)):

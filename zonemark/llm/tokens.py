@@ -161,7 +161,7 @@ class ChunkTokenizer:
         out: list[np.ndarray] = []
         size, lo = pc.binary_length(texts).to_numpy(zero_copy_only=False), 0
         while lo < len(texts):
-            hi = lo + max(1, int(np.searchsorted(np.cumsum(size[lo:]), 24_000_000, "right")))
+            hi = lo + max(1, int(np.searchsorted(np.cumsum(size[lo:]), 6_000_000, "right")))
             out += self._encode(whole(texts.slice(lo, hi - lo)))
             lo = hi
         return out
@@ -175,12 +175,19 @@ class ChunkTokenizer:
         bounds = words.offsets.to_numpy()
         coded = words.flatten().dictionary_encode()
         ids, lens = self._chunks(coded.dictionary.to_pylist())
-        at = coded.indices.to_numpy()
+        at, bounds = coded.indices.to_numpy(), bounds - bounds[0]
+        del lower, words, coded
         first = np.cumsum(lens) - lens
-        n = lens[at]
-        flat = ids[ragged(first[at], n)]
-        ends = np.concatenate([[0], np.cumsum(n)])[bounds - bounds[0]]
-        out = [flat[a:b] for a, b in zip(ends[:-1], ends[1:])]
+        out: list[np.ndarray] = []
+        lo = 0
+        while lo + 1 < len(bounds):  # some texts at a time: laying out takes several numbers an id
+            hi = max(lo + 1, int(np.searchsorted(bounds, bounds[lo] + 400_000, "right")) - 1)
+            mine = at[bounds[lo] : bounds[hi]]
+            n = lens[mine]
+            flat = ids[ragged(first[mine], n)]
+            ends = np.concatenate([[0], np.cumsum(n)])[bounds[lo : hi + 1] - bounds[lo]]
+            out += [flat[a:b] for a, b in zip(ends[:-1], ends[1:])]
+            lo = hi
         for k in np.flatnonzero(special):
             out[k] = np.array(self._one(texts[int(k)].as_py()), np.uint32)
         return out
