@@ -20,6 +20,7 @@ from ..plans.language import capture_regex, part_names
 from ..plans.registry import CodeError, Registry, world_registry
 from . import codes
 from .codes import MIN_LONG
+from .linear import Line, line
 from .uk import fold, let, uk_native, uk_render
 
 ColumnOrName = Column | str
@@ -152,10 +153,36 @@ def _spellings(t: Column, cc: Column) -> list[Column]:
     return out
 
 
-def _first(name: str, t: Column, cc: Column) -> Column:
+def _reader(name: str):
+    return lambda s: _payload_of(name, s)
+
+
+def _first(read, t: Column, cc: Column) -> Column:
     """The payload of the first spelling that is a code; what is written as it should be costs one try."""
-    others = F.transform(F.array(*_spellings(t, cc)[1:]), lambda s: _payload_of(name, s))
-    return F.coalesce(_payload_of(name, t), F.get(F.filter(others, lambda p: p.isNotNull()), F.lit(0)))
+    others = F.transform(F.array(*_spellings(t, cc)[1:]), read)
+    return F.coalesce(read(t), F.get(F.filter(others, lambda p: p.isNotNull()), F.lit(0)))
+
+
+def _lines(reg: Registry, countries: list[str] | None) -> dict[tuple[str, int], Line] | None:
+    """The lines of all languages that codes of these countries can be stored in, by country and tag; None
+    if not all of them are lines."""
+    if countries is None:
+        return None
+    out = {}
+    for (cc, v), lang in reg.languages.items():
+        if cc in countries:
+            out[cc, FIRST_PATTERN_TAG + v - 1] = line(lang.pattern)
+    return None if None in out.values() else out
+
+
+def _by_line(k: Column, lines: dict[tuple[str, int], Line], then) -> Column:
+    """``then`` of the line and the payload, by the key's country and tag."""
+    out = F.when(F.lit(False), then(next(iter(lines.values())), payload(k)))
+    for (cc, t), ln in sorted(lines.items(), key=lambda x: x[0]):
+        value = then(ln, payload(k))
+        if value is not None:
+            out = out.when(F.shiftrightunsigned(raw(k), 48) == (codes.pack_country(cc) << 6 | t), value)
+    return out
 
 
 def _pattern_udf(registry: Registry, what: str):
@@ -246,24 +273,46 @@ def to_postal_code(code: ColumnOrName, cc: Column | str | None = None, registry:
     """The key of a text, or null. ``cc``: a country code as a str, a Column, or None (the text says it).
     With ``bounds`` also the end of a country, written ``CC-~``, which is a bound and no code."""
     reg = registry or world_registry()
-    names = {reg.format_name(cc.upper())} if isinstance(cc, str) else {reg.format_name(x) for x in reg.countries()}
+    if isinstance(cc, str):
+        return _of_one_country(_col(code), _literal_country(cc), reg, bounds)
+    names = {reg.format_name(x) for x in reg.countries()}
     own = {n: [x for x in reg.countries() if reg.format_name(x) == n] for n in names}
 
     def key(x: Column) -> Column:
         c, national = x["c"], x["t"]
-        end = assemble(c, END_TAG, F.lit(0).cast("long")) if bounds else F.lit(None).cast("long")
-        out = F.when((national == "~") & c.isin(reg.countries()), end)
+        out = F.when((national == "~") & c.isin(reg.countries()), _end(c, bounds))
         for name in [n for n in FORMAT_TAGS if n in names]:
-            out = out.when(c.isin(own[name]), assemble(c, FORMAT_TAGS[name], _first(name, national, c)))
+            out = out.when(c.isin(own[name]), assemble(c, FORMAT_TAGS[name], _first(_reader(name), national, c)))
         return out
 
-    native = let(_split(_col(code), cc), key) if names & {*FORMAT_TAGS} or "pattern" in names else F.lit(None).cast("long")
-    if "pattern" not in names:
-        return native
     x = _split(_col(code), cc)
-    mine = x["c"].isin(own["pattern"])
+    mine = x["c"].isin(own.get("pattern", []))
     parsed = _pattern_udf(reg, "parse")(F.when(mine, x["c"]), F.when(mine, x["t"]))
-    return F.coalesce(native, parsed)
+    return F.coalesce(let(x, key), parsed)
+
+
+def _end(c: Column, bounds: bool) -> Column:
+    return assemble(c, END_TAG, F.lit(0).cast("long")) if bounds else F.lit(None).cast("long")
+
+
+def _of_one_country(code: Column, cc: str, reg: Registry, bounds: bool) -> Column:
+    """Codes of a country that is known: read as they stand first, then tidied and re-spelled."""
+    fmt, c = reg.format(cc), F.lit(cc)
+    if fmt is None:
+        return F.lit(None).cast("long")
+    ln = line(fmt.regex) if isinstance(fmt, codes.Patterned) else None
+    if isinstance(fmt, codes.Patterned) and ln is None:
+        x = _split(code, cc)
+        end = F.when((x["t"] == "~") & (x["c"] == cc), _end(c, bounds))
+        real = x["c"].isNotNull() & (x["t"] != "~")
+        return F.coalesce(end, _pattern_udf(reg, "parse")(F.when(real, x["c"]), F.when(real, x["t"])))
+    read = ln.rank if ln else _reader(fmt.name)
+
+    def slow(x: Column) -> Column:
+        found = assemble(c, fmt.tag, _first(read, x["t"], c))
+        return F.when(x["c"] == cc, F.when(x["t"] == "~", _end(c, bounds)).otherwise(found))
+
+    return F.coalesce(assemble(c, fmt.tag, read(fold(code))), let(_split(code, cc), slow))
 
 
 def postal_code(code: ColumnOrName, cc: Column | str | None = None, registry: Registry | None = None) -> Column:
@@ -356,7 +405,13 @@ def to_text(key: ColumnOrName, registry: Registry | None = None, countries: list
             out = out.when(t == FORMAT_TAGS[name], _national(name, p))
         return F.concat(country(k), F.lit("-"), out)
 
+    lines = _lines(reg, countries)
+    if lines is not None and names - {"pattern"} in ({n} for n in (*FORMAT_TAGS,)) and not lines:
+        return national(k)
     out, t = let(k, national), tag(k)
+    if lines:
+        written = _by_line(k, lines, lambda ln, p: ln.text(p))
+        return F.coalesce(F.concat(country(k), F.lit("-"), written), out)
     if "pattern" in names:
         mine = (t >= FIRST_PATTERN_TAG) & (t < END_TAG)
         out = F.when(mine, _pattern_udf(reg, "text")(F.when(mine, k))).otherwise(out)
@@ -370,6 +425,11 @@ def outcode(key: ColumnOrName, registry: Registry | None = None, countries: list
     low = lambda s: k.bitwiseAND(F.lit(~((1 << s) - 1)))
     tags = FORMAT_TAGS
     out = F.when(t.isin(tags["US"], tags["CA"], tags["GB"]), low(14)).when(t == tags["BR"], low(11)).when(t == tags["IE"], low(21))
+    lines = _lines(reg, countries)
+    if lines:
+        coarse = _by_line(k, lines, lambda ln, p: ln.outcode(p))
+        high = k.bitwiseAND(F.lit(~_PAYLOAD))
+        return out.when((t >= FIRST_PATTERN_TAG) & (t < END_TAG), high.bitwiseOR(coarse))
     if "pattern" in names:
         mine = (t >= FIRST_PATTERN_TAG) & (t < END_TAG)
         out = out.when(mine, _pattern_udf(reg, "outcode")(F.when(mine, k)))
