@@ -192,12 +192,9 @@ def _pattern_udf(registry: Registry, what: str):
         seen: dict = {}
         out = []
         for c, t in zip(cc.to_pylist(), text.to_pylist()):
-            if c is None or t is None:
-                out.append(None)
-                continue
             k = (c, t)
             if k not in seen:
-                seen[k] = registry.parse(f"{c}-{t}")
+                seen[k] = None if t is None else registry.parse(t, c, bounds=False)
             out.append(seen[k])
         return pa.array(out, pa.int64())
 
@@ -285,10 +282,11 @@ def to_postal_code(code: ColumnOrName, cc: Column | str | None = None, registry:
             out = out.when(c.isin(own[name]), assemble(c, FORMAT_TAGS[name], _first(_reader(name), national, c)))
         return out
 
-    x = _split(_col(code), cc)
-    mine = x["c"].isin(own.get("pattern", []))
-    parsed = _pattern_udf(reg, "parse")(F.when(mine, x["c"]), F.when(mine, x["t"]))
-    return F.coalesce(let(x, key), parsed)
+    # rows that do not plainly name a country of a compiled format are read in Python too
+    text, given = _col(code), F.lit(None).cast("string") if cc is None else cc
+    plain = fold(F.coalesce(given, F.substring(text, 1, 2))).isin([c for n, x in own.items() if n != "pattern" for c in x])
+    parsed = _pattern_udf(reg, "parse")(F.when(~plain, given), F.when(~plain, text))
+    return F.coalesce(let(_split(text, cc), key), parsed)
 
 
 def _end(c: Column, bounds: bool) -> Column:
@@ -302,10 +300,10 @@ def _of_one_country(code: Column, cc: str, reg: Registry, bounds: bool) -> Colum
         return F.lit(None).cast("long")
     ln = line(fmt.regex) if isinstance(fmt, codes.Patterned) else None
     if isinstance(fmt, codes.Patterned) and ln is None:
-        x = _split(code, cc)
-        end = F.when((x["t"] == "~") & (x["c"] == cc), _end(c, bounds))
-        real = x["c"].isNotNull() & (x["t"] != "~")
-        return F.coalesce(end, _pattern_udf(reg, "parse")(F.when(real, x["c"]), F.when(real, x["t"])))
+        parsed = _pattern_udf(reg, "parse")(c, code)
+        if not bounds:
+            return parsed
+        return F.coalesce(let(_split(code, cc), lambda x: F.when((x["t"] == "~") & (x["c"] == cc), _end(c, True))), parsed)
     read = ln.rank if ln else _reader(fmt.name)
 
     def slow(x: Column) -> Column:

@@ -17,8 +17,16 @@ def attribute_country(tagged: Column, file_countries: Column) -> Column:
     return F.coalesce(own, F.when(F.size(file_countries) == 1, F.get(file_countries, F.lit(0))))
 
 
+def _held(df: DataFrame, **columns: Column) -> DataFrame:
+    """Columns that are worked out once, whatever refers to them: the optimiser does not copy an
+    expression through a generator."""
+    row = F.struct(*[c.alias(n) for n, c in columns.items()])
+    return df.select("*", F.explode(F.array(row)).alias("_held")).select(*df.columns, *[F.col(f"_held.{n}").alias(n) for n in columns])
+
+
 def with_codes(df: DataFrame, code: str, cc: str, key: str = "key", registry: Registry | None = None) -> DataFrame:
-    return df.withColumn(key, C.to_postal_code(code, F.col(cc), registry))
+    """``df`` with the keys of its codes."""
+    return _held(df, **{key: C.to_postal_code(code, F.col(cc), registry)})
 
 
 def split_feed(df: DataFrame, code: str, cc: str, key: str = "key", registry: Registry | None = None) -> tuple[DataFrame, DataFrame]:
@@ -38,8 +46,9 @@ def consistency(parsed: DataFrame, cc: str, key: str = "key", registry: Registry
     """One row of counts of failures: text round trip, country, outcode idempotent and not above its code,
     binary round trip."""
     k, text = F.col(key), F.col("_text")
-    rows = parsed.filter(k.isNotNull()).withColumn("_text", C.to_text(k, registry)).withColumn("_out", C.outcode(k, registry))
-    again = rows.withColumn("_again", C.to_postal_code(text, None, registry)).withColumn("_out2", C.outcode("_out", registry))
+    rows = parsed.select(cc, F.explode(F.array(k)).alias(key)).filter(k.isNotNull())
+    rows = _held(rows, _text=C.to_text(k, registry), _out=C.outcode(k, registry))
+    again = _held(rows, _again=C.to_postal_code(text, None, registry), _out2=C.outcode("_out", registry))
     bad = lambda c: F.count_if(~F.coalesce(c, F.lit(False)))
     return again.agg(
         F.count(F.lit(1)).alias("checked"),

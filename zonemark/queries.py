@@ -90,7 +90,7 @@ def coded(spark: SparkSession, d: str, of: tuple[str, str], text: str, cc: str |
 
 def mixed(spark: SparkSession, d: str, of: tuple[str, str] = CUSTOMER) -> DataFrame:
     rows = table(spark, d, of).withColumn("cc", F.expr(MIXED_CC)).withColumn("t", F.expr(MIXED))
-    return rows.withColumn("key", C.to_postal_code("t", F.col("cc")))
+    return quality.with_codes(rows, "t", "cc")
 
 
 def _round_trip(name: str, of: tuple[str, str], text: str, cc: str, canonical: str | None = None, written: str | None = None) -> None:
