@@ -338,7 +338,8 @@ def link_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     sets = stored(components(found), "linked")
     joined = infos.join(sets.withColumnRenamed("node", "key"), "key", "left")
     joined = joined.withColumn("g", F.when((F.col("n") > 0) & F.col("doc").isNotNull(), F.coalesce("component", "key")))
-    low = joined.filter("g is not null").groupBy("g").agg(F.min("doc").alias("low"))
+    # written first: the join then has no aggregate below it, and Spark can split a large group
+    low = stored(joined.filter("g is not null").groupBy("g").agg(F.min("doc").alias("low")), "low")
     return joined.join(low, "g", "left").select(
         F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("low", "doc").alias("component_id")
     )
