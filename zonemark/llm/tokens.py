@@ -161,7 +161,7 @@ class ChunkTokenizer:
         out: list[np.ndarray] = []
         size, lo = pc.binary_length(texts).to_numpy(zero_copy_only=False), 0
         while lo < len(texts):
-            hi = lo + max(1, int(np.searchsorted(np.cumsum(size[lo:]), 6_000_000, "right")))
+            hi = lo + max(1, int(np.searchsorted(np.cumsum(size[lo:]), 9_000_000, "right")))
             out += self._encode(whole(texts.slice(lo, hi - lo)))
             lo = hi
         return out
@@ -174,7 +174,7 @@ class ChunkTokenizer:
         words = pc.ascii_split_whitespace(lower)
         bounds = words.offsets.to_numpy()
         coded = words.flatten().dictionary_encode()
-        ids, lens = self._chunks(coded.dictionary.to_pylist())
+        ids, lens = self._chunks(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
         at, bounds = coded.indices.to_numpy(), bounds - bounds[0]
         del lower, words, coded
         first = np.cumsum(lens) - lens
