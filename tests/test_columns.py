@@ -137,6 +137,11 @@ def test_sql_names(spark):
         "is_valid_postal_code('x', 'US'), postal_code_pattern_size('NN-NNN'), postal_code_pattern_part_names('(?<x>\\\\d)(?<y>\\\\d)')"
     ).first()
     assert list(row) == ["GB-SW1A 1AA", "US", True, False, 100000, ["x", "y"]]
+    row = spark.sql(
+        "SELECT postal_part(to_postal_code('GB-SW1A 1AA', NULL), 'district'), postal_parts(to_postal_code('US-90210', NULL)), postal_parts(to_postal_code('FR-75001', NULL)), "
+        "postal_prefix('GB-LS1').hi = lower_bound('GB-LS10'), to_postal_prefix('nothing') IS NULL, postal_code_parts_check('(?<x>[0-9])(?<y>[0-9])') IS NULL"
+    ).first()
+    assert list(row) == ["1A", '{"zip5":"90210","plus4":null}', None, True, True, True]
     parts = spark.sql("SELECT * FROM parts_of((SELECT to_postal_code('NL-1012AB', NULL)))").collect()
     assert [tuple(r) for r in parts] == [(1, "digits", "1012"), (2, "letters", "AB")]
     assert spark.table("postal_code_world").count() == 250

@@ -19,7 +19,7 @@ from pyspark.sql.window import Window
 
 from ..fixed import COMPILED_COUNTRIES, END_TAG, FIRST_PATTERN_TAG, FORMAT_PARTS, FORMATS, MAX_VERSION, NAMED_PATTERNS, PATTERNS
 from ..functions import codes
-from .language import language, part_names, parts_check, resolve, same_codes
+from .language import capture_regex, language, part_names, parts_check, resolve, same_codes
 
 
 @dataclass(frozen=True)
@@ -160,6 +160,27 @@ class Registry:
             return fmt.regex if part_names(fmt.regex) else None
         return FORMAT_PARTS.get(fmt.name)
 
+    def parts(self, key: int) -> dict[str, str | None] | None:
+        """The named parts of a stored code, in their order; None if its format names none."""
+        pattern = self.parts_pattern(codes.country_of(key), codes.tag_of(key))
+        if pattern is None or codes.tag_of(key) == END_TAG:
+            return None
+        m = re.fullmatch(capture_regex(pattern), self.text(key)[3:])
+        if m is None:
+            raise CodeError(f'cannot split the postal code "{self.text(key)}" into parts')
+        return dict(zip(part_names(pattern), m.groups()))
+
+    def part(self, key: int, name: str) -> str | None:
+        got = self.parts(key)
+        cc = codes.country_of(key)
+        if got is None:
+            if codes.tag_of(key) == END_TAG:
+                return None
+            raise CodeError(f"postal codes of {cc} have no named parts")
+        if name not in got:
+            raise CodeError(f'postal codes of {cc} have no part called "{name}"')
+        return got[name]
+
     # ---- changes ----------------------------------------------------------------------------------------
 
     def _next(self, **changes) -> "Registry":

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -9,7 +10,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import codes
-from ..plans.language import part_names, resolve, same_codes
+from ..plans.language import part_names, parts_check, resolve, same_codes
 from ..plans.registry import Registry, world_registry
 
 
@@ -71,6 +72,13 @@ def register(spark: SparkSession, registry: Registry | None = None) -> list[str]
     one("postal_code_pattern_size", _size, *key)
     two("postal_code_same_codes", lambda a, b: same_codes(_regex(a), _regex(b)), *flag)
     one("postal_code_pattern_part_names", lambda p: part_names(_regex(p)), pa.list_(pa.string()), "array<string>")
+    one("postal_code_parts_check", lambda p: parts_check(_regex(p)), *text)
+    two("postal_part", reg.part, *text)
+    one("postal_parts", lambda k: (lambda p: p if p is None else json.dumps(p, separators=(",", ":")))(reg.parts(k)), *text)
+    bounds = pa.struct([("lo", pa.int64()), ("hi", pa.int64())])
+    as_struct = lambda r: r and {"lo": r[0], "hi": r[1]}
+    one("postal_prefix", lambda f: as_struct(reg.prefix_strict(f)), bounds, "struct<lo:bigint,hi:bigint>")
+    one("to_postal_prefix", lambda f: as_struct(reg.prefix(f)), bounds, "struct<lo:bigint,hi:bigint>")
     one("uk_postcode", lambda t: (lambda f: codes.uk_pack(f) if f else None)(codes.uk_fields(t, False)), *key)
     one("uk_text", lambda v: codes.uk_text(codes.uk_unpack(v)), *text)
     spark.sql(
@@ -82,17 +90,8 @@ def register(spark: SparkSession, registry: Registry | None = None) -> list[str]
     @F.udtf(returnType="ord int, name string, piece string")
     class PartsOf:
         def eval(self, k: int) -> Iterator[tuple[int, str, str | None]]:
-            import re
-
-            from ..plans.language import capture_regex
-
-            if k is None:
-                return
-            pattern = reg.parts_pattern(codes.country_of(k), codes.tag_of(k))
-            if pattern:
-                m = re.fullmatch(capture_regex(pattern), reg.text(k)[3:])
-                for n, (name, piece) in enumerate(zip(part_names(pattern), m.groups())):
-                    yield n + 1, name, piece
+            for n, (name, piece) in enumerate((reg.parts(k) or {}).items() if k is not None else ()):
+                yield n + 1, name, piece
 
     spark.udtf.register("parts_of", PartsOf)
     names.append("parts_of")
