@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from .components import components
 from .memory import lean
 from .signature_tree import Links, SignatureTree
-from .storage import discard, release, stored
+from .storage import release, stored
 from .tokens import ragged
 from .words import fingerprints, mix, runs, slices
 
@@ -336,13 +336,15 @@ def link_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     found = stored(found.distinct(), "links")
     release(spark)
     sets = stored(components(found), "linked")
-    joined = infos.join(sets.withColumnRenamed("node", "key"), "key", "left")
-    joined = joined.withColumn("g", F.when((F.col("n") > 0) & F.col("doc").isNotNull(), F.coalesce("component", "key")))
-    # written first: the join then has no aggregate below it, and Spark can split a large group
-    low = stored(joined.filter("g is not null").groupBy("g").agg(F.min("doc").alias("low")), "low")
-    return joined.join(low, "g", "left").select(
-        F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("low", "doc").alias("component_id")
-    )
+    # by key before any join, so that thousands of copies are one row; the last join has no aggregate
+    # below it, and Spark can split what is left of a large key
+    lowest = infos.filter("doc is not null and n > 0").groupBy("key").agg(F.min("doc").alias("low"))
+    named_sets = lowest.join(sets.withColumnRenamed("node", "key"), "key", "left").withColumn("g", F.coalesce("component", "key"))
+    by_group = stored(named_sets.groupBy("g").agg(F.min("low").alias("component_id")), "low")
+    by_key = stored(named_sets.select("key", "g").join(by_group, "g").select("key", "component_id"), "by_key")
+    real = F.when((F.col("n") > 0) & F.col("doc").isNotNull(), F.col("key"))
+    out = infos.withColumn("key", real).join(by_key, "key", "left")
+    return out.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc").alias("component_id"))
 
 
 def _groups(first: DataFrame, cluster_sets: int, part_sets: int) -> DataFrame:
