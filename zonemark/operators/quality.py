@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import columns as C
-from ..plans.registry import Registry
+from ..plans.registry import Registry, world_registry
 
 
 def attribute_country(tagged: Column, file_countries: Column) -> Column:
@@ -68,11 +68,21 @@ def order_failures(parsed: DataFrame, key: str = "key", registry: Registry | Non
 
 
 def prefix_failures(parsed: DataFrame, lengths: list[int], key: str = "key", registry: Registry | None = None) -> DataFrame:
-    """Text prefixes of codes for which the range has another number of codes than the text."""
+    """Text prefixes of codes for which the range has another number of codes than the text.
+
+    Texts are tidied, so prefixes that end in a space are no fragments of their own. The UK format reads a
+    fragment without a space as an area or a district, whatever texts begin so: its countries are held
+    against outcode() by complete outcodes, and against the text by fragments with a space.
+    """
     from .joins import prefix_counts
 
+    reg = registry or world_registry()
+    british = F.substring("_t", 1, 2).isin([c for c in reg.countries() if reg.format_name(c) == "GB"])
     rows = parsed.filter(F.col(key).isNotNull()).select(key).distinct().withColumn("_t", C.to_text(key, registry))
-    by_text = rows.select(F.explode(F.array(*[F.when(F.length("_t") >= n, F.substring("_t", 1, n)) for n in lengths])).alias("fragment"))
+    rows = _held(rows, _out=F.when(british, C.to_text(C.outcode(key, registry), registry)))
+    prefix = [F.when(F.length("_t") >= n, F.substring("_t", 1, n)) for n in lengths]
+    prefix = [F.when(~p.endswith(" ") & (~british | p.contains(" ")), p) for p in prefix]
+    by_text = rows.select(F.explode(F.array(*prefix, F.col("_out"))).alias("fragment"))
     by_text = by_text.filter("fragment is not null").groupBy("fragment").agg(F.count(F.lit(1)).alias("by_text"))
     by_range = prefix_counts(rows, by_text, key, "fragment", registry).withColumnRenamed("n", "by_range")
     return by_text.join(by_range, "fragment").filter("by_text <> by_range")
