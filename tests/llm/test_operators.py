@@ -96,6 +96,15 @@ def test_toxicity_learns_and_keeps_held_out_labels_out(spark):
     assert toxicity.score_documents(empty(spark), labels).count() == 0
 
 
+def test_toxicity_tables_hold_every_gram(spark):
+    """What was not counted takes nobody's mass, however many n-grams there are."""
+    n = 600_000
+    grams = np.random.default_rng(3).permutation(2 * n).astype(np.uint32)
+    rows = spark.createDataFrame(pa.table({"gram": grams[:n].astype(np.int64), "a": grams[:n] % 7 + 1.0, "b": grams[:n] % 5 + 1.0}))
+    got = toxicity._table(rows, 0.0).open().of(grams.astype(np.uint64))
+    assert (got[:n] == np.stack([grams[:n] % 7 + 1, grams[:n] % 5 + 1], axis=1)).all() and not got[n:].any()
+
+
 # ---- 3, 10 ------------------------------------------------------------------------------------------------
 
 

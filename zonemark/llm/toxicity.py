@@ -7,8 +7,9 @@ The score compares the two log-likelihoods, divided by the length.
 
 * The n-gram counts come from every labelled text of the training folds: each task sums its own, Spark
   adds them up, and continuation counts are group-bys over the distinct n-grams.
-* Tables of discounts are indexed by a hash of the n-gram (``SLOTS``), so a model has a
-  proven size whatever the corpus is, and documents are scored where they lie, without a shuffle.
+* Tables of discounts hold every n-gram that was counted, found by a hash and compared as it is, so what
+  was not counted takes nobody's mass. A model grows with the distinct n-grams of the training folds, 12
+  bytes each where it is gathered and sent and up to 28 in a worker; documents are scored where they lie, without a shuffle.
 * A logistic curve from the compared likelihoods to a probability is fitted on labelled rows of a fold
   that the counts have not seen, ``CALIBRATION_ROWS`` of them at most, by smallest hash.
 
@@ -35,8 +36,6 @@ from .memory import lean
 from .storage import discard, stored
 
 ORDER, SHARED = 4, 2
-#: Slots of the tables of n-grams, by order.
-SLOTS = {2: 1 << 16, 3: 1 << 19, 4: 1 << 21}
 CALIBRATION_ROWS = 20_000
 FOLDS = 5
 
@@ -75,11 +74,10 @@ def _grams(sym: np.ndarray, order: int) -> np.ndarray:
     return g
 
 
-def slot(gram: np.ndarray, order: int) -> np.ndarray:
-    """A hash of n-grams to the slots of their order."""
-    slots = SLOTS[order]
+def _slot(gram: np.ndarray, bits: int) -> np.ndarray:
+    """A hash of n-grams to 2 ** bits slots."""
     x = gram.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    return (x >> np.uint64(64 - slots.bit_length() + 1)).astype(np.int64)
+    return (x >> np.uint64(64 - bits)).astype(np.int64)
 
 
 def _slices(texts: pa.Array, size: int = 1_000_000) -> Iterator[pa.Array]:
@@ -134,23 +132,52 @@ def _gram_batch(u: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
 
 @dataclass
 class Table:
-    """Values of the slots that are used, [slot, class]; all others have ``rest``."""
+    """Distinct n-grams and their values, [n-gram, class]; all others have ``rest``."""
 
-    order: int
-    at: np.ndarray
+    grams: np.ndarray
     values: np.ndarray
     rest: float
 
-    def dense(self) -> np.ndarray:
-        out = np.full((SLOTS[self.order], 2), self.rest, np.float32)
-        out[self.at] = self.values
-        return out
+    def open(self) -> "OpenTable":
+        """Slots by linear probing, a quarter to half of them used at most."""
+        n = len(self.grams)
+        bits = max(4, (2 * n).bit_length())
+        where = np.full(1 << bits, n, np.int32)
+        at, todo = _slot(self.grams, bits), np.arange(n, dtype=np.int32)
+        while len(todo):
+            free = where[at] == n
+            where[at[free]] = todo[free]
+            left = where[at] != todo
+            at, todo = (at[left] + 1) & (len(where) - 1), todo[left]
+        grams = np.append(self.grams, np.uint32(0))
+        return OpenTable(bits, where, grams, np.vstack([self.values, np.full((1, 2), self.rest, np.float32)]))
+
+
+@dataclass
+class OpenTable:
+    bits: int
+    where: np.ndarray
+    grams: np.ndarray
+    values: np.ndarray
+
+    def of(self, gram: np.ndarray) -> np.ndarray:
+        none, mask = len(self.grams) - 1, len(self.where) - 1
+        at = _slot(gram, self.bits)
+        row = self.where[at]
+        other = np.flatnonzero((self.grams[row] != gram) & (row != none))
+        at = at[other]
+        while len(other):
+            at = (at + 1) & mask
+            row[other] = found = self.where[at]
+            more = (self.grams[found] != gram[other]) & (found != none)
+            other, at = other[more], at[more]
+        return self.values[row]
 
 
 @dataclass
 class Model:
     """Per order above SHARED: own[k] the discounted share, left[k] for a context the weight of the order
-    below; base[pair of bytes]: the shared probability. What is sent to the tasks has the used slots only;
+    below; base[pair of bytes]: the shared probability. What is sent to the tasks has the n-grams only;
     a worker lays them out on first use."""
 
     own: dict[int, Table]
@@ -160,7 +187,7 @@ class Model:
     def open(self) -> "OpenModel":
         if _OPEN.get("model") is not self:
             _OPEN.clear()
-            opened = OpenModel({k: t.dense() for k, t in self.own.items()}, {k: t.dense() for k, t in self.left.items()}, self.base)
+            opened = OpenModel({k: t.open() for k, t in self.own.items()}, {k: t.open() for k, t in self.left.items()}, self.base)
             _OPEN.update(model=self, opened=opened)
         return _OPEN["opened"]
 
@@ -170,8 +197,8 @@ _OPEN: dict = {}
 
 @dataclass
 class OpenModel:
-    own: dict[int, np.ndarray]
-    left: dict[int, np.ndarray]
+    own: dict[int, OpenTable]
+    left: dict[int, OpenTable]
     base: np.ndarray
 
     def compare(self, sym: np.ndarray) -> np.ndarray:
@@ -179,8 +206,8 @@ class OpenModel:
         p = np.repeat(self.base[_grams(sym, SHARED).astype(np.int64)][:, None], 2, axis=1)
         for k in range(SHARED + 1, ORDER + 1):
             g = _grams(sym, k)
-            p *= self.left[k][slot(g >> np.uint64(8), k - 1)]
-            p += self.own[k][slot(g, k)]
+            p *= self.left[k].of(g >> np.uint64(8))
+            p += self.own[k].of(g)
         np.log(p, out=p)
         return p[:, 0] - p[:, 1]
 
@@ -193,19 +220,11 @@ def _discount(n1: int, n2: int) -> float:
     return n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
 
 
-def _table(rows: DataFrame, order: int, rest: float, how: str) -> Table:
-    """Rows (gram, a, b) by slot; n-grams that share a slot are merged by Spark, so
-    at most SLOTS[order] rows are gathered."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            s = slot(b.column(0).to_numpy(zero_copy_only=False), order)
-            yield pa.RecordBatch.from_arrays([pa.array(s), b.column(1), b.column(2)], ["s", "a", "b"])
-
-    merge = {"max": F.max, "avg": F.avg}[how]
-    got = rows.mapInArrow(run, "s long, a double, b double").groupBy("s").agg(merge("a").alias("a"), merge("b").alias("b")).toArrow()
-    values = np.stack([got.column(c).to_numpy().astype(np.float32) for c in "ab"], axis=1)
-    return Table(order, got.column("s").to_numpy().astype(np.uint32), values, rest)
+def _table(rows: DataFrame, rest: float) -> Table:
+    """Rows (gram, a, b) with distinct n-grams: all of them are gathered."""
+    got = rows.select(F.col(rows.columns[0]).cast("long").alias("gram"), F.col("a").cast("float"), F.col("b").cast("float")).toArrow()
+    values = np.stack([got.column(c).to_numpy() for c in "ab"], axis=1)
+    return Table(got.column("gram").to_numpy().astype(np.uint32), values, rest)
 
 
 def fit(rows: DataFrame) -> Model:
@@ -222,8 +241,8 @@ def fit(rows: DataFrame) -> Model:
         )
         share = [F.when(F.col(c) > 0, (F.col(c) - F.lit(d[c])) / F.col(f"t_{c}")).otherwise(0.0) for c in _CLASSES]
         weight = [F.when(F.col(f"t_{c}") > 0, F.lit(d[c]) * F.col(f"k_{c}") / F.col(f"t_{c}")).otherwise(1.0) for c in _CLASSES]
-        own[k] = _table(both.join(ctx, "ctx").select("gram", *[x.alias(n) for x, n in zip(share, "ab")]), k, 0.0, "max")
-        left[k] = _table(ctx.select("ctx", *[x.alias(n) for x, n in zip(weight, "ab")]), k - 1, 1.0, "avg")
+        own[k] = _table(both.join(ctx, "ctx").select("gram", *[x.alias(n) for x, n in zip(share, "ab")]), 0.0)
+        left[k] = _table(ctx.select("ctx", *[x.alias(n) for x, n in zip(weight, "ab")]), 1.0)
         mask = (1 << (8 * (k - 1))) - 1
         now = now.groupBy(F.col("gram").bitwiseAND(F.lit(mask)).alias("gram")).agg(*[F.count(F.when(F.col(c) > 0, 1)).alias(c) for c in _CLASSES])
     pairs = np.zeros(1 << 16)
@@ -311,7 +330,7 @@ def score_documents(
         zero = [F.lit(0.0).alias("score"), F.lit(0).alias("predicted"), F.lit(0.0).alias("llr")]
         return rows.select("doc_id", held_out, *zero, size.alias("n_symbols"), *row)
     model = fit(known.filter(fold(F.col("doc_id")) < FOLDS - 1).select("text", "toxic"))
-    held = docs.sparkSession.sparkContext.broadcast(model)  # at most SLOTS entries
+    held = docs.sparkSession.sparkContext.broadcast(model)  # as large as the distinct n-grams
     seen = known.filter(fold(F.col("doc_id")) == FOLDS - 1)
     few = one.filter(fold(F.col("doc_id")) == FOLDS - 1).orderBy(F.xxhash64("doc_id"), "doc_id").limit(CALIBRATION_ROWS).select("doc_id")
     got = compared(seen.join(F.broadcast(few), "doc_id", "left_semi").select("toxic", "text"), "text", held).toArrow()
