@@ -28,9 +28,10 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without their sites' boilerplate lines; ``n_chars`` follows the text."""
+    """All documents, without their sites' boilerplate lines; ``n_chars`` follows the text. Copies are the
+    next stage's: equal texts of a site are one page here where lines are counted."""
     chars = F.coalesce(F.length("text").cast("long"), F.col("n_chars"))
-    return drop_boilerplate(docs).withColumn("n_chars", chars)
+    return drop_boilerplate(docs, copies_once=True).withColumn("n_chars", chars)
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

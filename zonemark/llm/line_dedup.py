@@ -2,7 +2,8 @@
 
 For each host: the pages that hold a line, divided by the host's pages, is the line's frequency.
 Lines above ``ratio`` that at least ``min_pages`` pages hold are boilerplate and go from all of the
-host's pages.
+host's pages. With ``copies_once`` pages of a host with equal texts are one page where pages are counted,
+so that a text does not become boilerplate by being copied.
 
 * A page's lines are made distinct within its row, so what is shuffled for the counts is a 16-byte
   digest a distinct line, summed before the shuffle; texts are not.
@@ -29,12 +30,17 @@ def _digest(line: Column) -> Column:
     return F.unhex(F.md5(line))
 
 
-def boilerplate(docs: DataFrame, *, host: Column, text: Column, ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
+def boilerplate(docs: DataFrame, *, host: Column, text: Column, ratio: float = RATIO, min_pages: int = MIN_PAGES, copies_once: bool = False) -> DataFrame:
     """host (null-safe struct), digest, pages, total: the lines to drop."""
-    pages = docs.select(_site(host).alias("_h"), F.array_distinct(F.split(text, "\n")).alias("_l"))
+    pages = docs.select(_site(host).alias("_h"), text.alias("_t"), F.array_distinct(F.split(text, "\n")).alias("_l"))
+    if copies_once:  # copies meet within a task first, and only digests are shuffled
+        digests = F.transform(F.filter("_l", lambda x: F.trim(x) != ""), _digest)
+        pages = pages.groupBy("_h", _digest(F.col("_t")).alias("_k")).agg(F.first(digests).alias("_l"))
+        lines = pages.select("_h", F.explode("_l").alias("_d"))
+    else:
+        lines = pages.select("_h", F.explode("_l").alias("_line")).filter(F.trim("_line") != "").select("_h", _digest(F.col("_line")).alias("_d"))
     total = pages.groupBy("_h").agg(F.count(F.lit(1)).alias("_total"))
-    lines = pages.select("_h", F.explode("_l").alias("_line")).filter(F.trim("_line") != "")
-    counts = lines.groupBy("_h", _digest(F.col("_line")).alias("_d")).agg(F.count(F.lit(1)).alias("_pages"))
+    counts = lines.groupBy("_h", "_d").agg(F.count(F.lit(1)).alias("_pages"))
     often = counts.filter(F.col("_pages") >= min_pages)
     return often.join(total, "_h").filter(F.col("_pages") > F.col("_total") * F.lit(ratio))
 
@@ -53,13 +59,14 @@ def drop_boilerplate(
     ratio: float = RATIO,
     min_pages: int = MIN_PAGES,
     counts: bool = False,
+    copies_once: bool = False,
 ) -> DataFrame:
     """``docs`` with boilerplate lines out of ``text_col``; with ``counts`` also n_lines, n_removed.
 
     Pages are told apart by a digest of id and text: equal rows lose the same lines.
     """
     host, text = F.col(host_col), F.col(text_col)
-    bad = boilerplate(docs, host=host, text=text, ratio=ratio, min_pages=min_pages).select("_h", "_d")
+    bad = boilerplate(docs, host=host, text=text, ratio=ratio, min_pages=min_pages, copies_once=copies_once).select("_h", "_d")
     key = F.unhex(F.md5(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.lit(":"), text)))
     lines = docs.select(key.alias("_k"), _site(host).alias("_h"), F.explode(F.array_distinct(F.split(text, "\n"))).alias("_line"))
     lines = lines.filter(F.trim("_line") != "").select("_k", "_h", _digest(F.col("_line")).alias("_d"))
