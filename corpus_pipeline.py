@@ -35,9 +35,15 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group that links of 0.8 or more connect."""
-    others = link_documents(docs).filter("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(others, "doc_id", "left_anti").select(*docs.columns)
+    """One row of each group that links of 0.8 or more connect: the one with the smallest id, or any of
+    those that share it; a row without an id if none of the group has one."""
+    rows = stored(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    linked = link_documents(rows, id_col="_row").select(F.col("doc_id").alias("_row"), F.col("component_id").alias("_group"))
+    linked = stored(linked.join(rows.select("_row", "doc_id"), "_row"), "grouped")
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row"))
+    keep = linked.groupBy("_group").agg(first["_row"].alias("_row"))
+    others = linked.select("_row").join(keep, "_row", "left_anti")
+    return rows.join(others, "_row", "left_anti").select(*docs.columns)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -51,3 +51,14 @@ def test_copies_are_no_boilerplate(spark, small):
     docs = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in enumerate(texts)], COLS).repartition(5)
     got = {r.doc_id: r.text for r in cp.line_dedup(spark, docs, small).collect()}
     assert got == {k: t.removeprefix("menu\n") for k, t in enumerate(texts)}
+
+
+def test_one_row_of_each_group_stays(spark, small):
+    """With ids that repeat or are missing, too."""
+    a, b, c, d, e = (" ".join(f"{x}{k}" for k in range(60)) for x in "abcde")
+    rows = [(1, a), (1, a), (2, a), (None, b), (None, b), (3, c), (4, c + " end"), (4, d), (None, e), (5, e), (6, None), (6, "")]
+    docs = spark.createDataFrame([(k, t, "en", "s", len(t or "")) for k, t in rows], COLS).repartition(3)
+    out = cp.ngram_jaccard_join(spark, docs, small)
+    assert out.columns == docs.columns
+    want = [(1, a), (None, b), (3, c), (4, d), (5, e), (6, None), (6, "")]
+    assert sorted((tuple(r)[:2] for r in out.collect()), key=str) == sorted(want, key=str)
