@@ -269,6 +269,14 @@ def test_decontamination_against_edit_distance(spark):
     assert decontaminate.clean(df, bench.limit(0)).count() == len(texts) and decontaminate.matches(empty(spark), bench).count() == 0
 
 
+def test_short_items_are_found_word_for_word(spark):
+    bench = spark.createDataFrame([(1, "Is 7 prime?"), (2, "cat"), (3, "?!")], "item_id long, text string")
+    df = frame(spark, ["So: is 7, prime", "is 7 primes", "this 7 prime", "concat cats", "a cat", "Cat!", "is 8 prime", "?!"])
+    want = {(0, 1, 0), (4, 2, 0), (5, 2, 0)}
+    assert {tuple(r) for r in decontaminate.matches(df, bench).collect()} == want
+    assert {r.doc_id for r in decontaminate.clean(df, bench).collect()} == {1, 2, 3, 6, 7}
+
+
 # ---- 6 ----------------------------------------------------------------------------------------------------
 
 

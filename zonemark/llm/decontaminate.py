@@ -11,8 +11,8 @@ item, each free to begin and end anywhere near there.
 Documents are searched where they lie.  The items are sent to the tasks in blocks of at most
 ``MAX_BLOCK_CHARS`` characters, one pass over the documents a block, so their size is bounded.
 
-Defined cases: null and empty texts hold no item; items without MIN_CHARS plain characters are no
-evidence and not searched for; items with equal texts are all reported; rows that share an id are
+Defined cases: null and empty texts hold no item; items of fewer than MIN_CHARS plain characters are
+held where they stand word for word, between word bounds; items without any are not searched for; items with equal texts are all reported; rows that share an id are
 searched each; an empty table on either side gives no matches; other columns are passed on.
 """
 
@@ -80,11 +80,12 @@ class Matcher:
         ids: dict[str, list[int | None]] = {}
         for i, t in items:
             p = plain(t or "")
-            if len(p) >= min_chars:
+            if p:
                 ids.setdefault(p, []).append(i)
         self.items = list(ids)
         self.ids = list(ids.values())
-        self.budget = [int(rate * len(p)) for p in self.items]
+        self.short = [len(p) < min_chars for p in self.items]
+        self.budget = [0 if s else int(rate * len(p)) for p, s in zip(self.items, self.short)]
         self.masks = [masks_of(p) for p in self.items]
         pieces: dict[str, list[tuple[int, int, tuple | None]]] = {}
         for n, p in enumerate(self.items):
@@ -120,6 +121,10 @@ class Matcher:
                     continue
                 seen.add(start)
                 item = self.items[n]
+                if self.short[n]:
+                    if t[max(0, start - 1) : start] in ("", " ") and t[end + 1 : end + 2] in ("", " "):
+                        best[n] = 0
+                    continue
                 if start >= 0 and t.startswith(item, start):
                     best[n] = 0
                     continue
