@@ -367,6 +367,15 @@ def test_urls(spark, most):
     assert url_filter.judge(pages.limit(0), url_filter.rules_frame(spark)).count() == 0
 
 
+@pytest.mark.parametrize("most", [url_filter.MAX_LISTED, 0])
+def test_rules_of_a_whole_host(spark, most):
+    rules = [("example.org", "", "block"), ("good.example.org", "", "allow"), ("com", "/fr/", "block")]
+    urls = URLS + ["http://example.org", "http://a.example.org?q", "http://good.example.org/x", "http://example.orgs/"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_filter.judge(pages, url_filter.rules_frame(spark, rules), max_listed=most).collect()}
+    assert got == {k: judged(u, rules) for k, u in enumerate(urls)}
+
+
 def test_cascade_is_exact(spark):
     keys = spark.range(4000).select(F.concat(F.lit("k"), F.col("id").cast("string")).alias("key"))
     listed = keys.filter(F.pmod(F.xxhash64("key"), F.lit(9)) == 0)

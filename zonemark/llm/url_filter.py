@@ -1,6 +1,6 @@
 """URL rules by a cascade of Bloom filters (operator 7), in DataFrame and SQL functions only.
 
-A rule is a host and the start of a path.  The keys a url could match are its host's suffixes joined
+A rule is a host and the start of a path; an empty start fits every path.  The keys a url could match are its host's suffixes joined
 with the starts of its path of the lengths that rules have; all the keys of all urls are the key
 universe.  For the allowing rules and for the blocking rules there is one cascade each: level 1 holds
 the listed keys, level 2 those other keys of the universe that level 1 also accepts, level 3 the
@@ -148,7 +148,7 @@ def judge(pages: DataFrame, rules: DataFrame, *, id_col: str = "page_id", url_co
     """id, host, path, rule, verdict for every row of ``pages``."""
     url = F.col(url_col).cast("string")
     rows = pages.select(F.col(id_col).alias("page_id"), host_of(url).alias("host"), path_of(url).alias("path"))
-    lengths = [r[0] for r in rules.select(F.length("path")).filter(F.length("path") > 0).distinct().collect()]  # at most a url's length
+    lengths = [r[0] for r in rules.select(F.length("path")).filter(F.length("path") >= 0).distinct().collect()]  # at most a url's length
     keyed = rules.select(F.concat("host", "path").alias("key"), (F.col("verdict") == "block").alias("blocked"))
     keyed = keyed.groupBy("key").agg(F.bool_or("blocked").alias("blocked"))
     if keyed.count() > max_listed:
