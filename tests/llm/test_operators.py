@@ -57,20 +57,39 @@ def empty(spark):
 # ---- 1 ----------------------------------------------------------------------------------------------------
 
 
-def test_line_dedup_against_brute_force(spark):
+def boilerplate(rows, ratio, least):
+    """(host, line) pairs to drop, of rows (host, text)."""
+    pages = collections.Counter(h for h, _ in rows)
+    seen = collections.Counter((h, x) for h, t in rows for x in set((t or "").split("\n")) if t is not None)
+    return {hl for hl, n in seen.items() if n >= least and n > ratio * pages[hl[0]] and hl[1].strip(" \t\n\x0b\x0c\r")}
+
+
+@pytest.mark.parametrize("few", [{}, {"broadcast_lines": 0}, {"host_lines": 1}])
+def test_line_dedup_against_brute_force(spark, few):
     rng = random.Random(2)
-    texts = ["\n".join(rng.choice(["menu", "menu", "foot", " ", "", f"own {k}", f"own {k + 1}"]) for _ in range(6)) for k in range(60)] + [None, "", "menu"]
+    texts = ["\n".join(rng.choice(["menu", "menu", "foot", " ", "\t", "", "\xa0", f"own {k}", f"own {k + 1}"]) for _ in range(6)) for k in range(60)] + [None, "", "menu"]
     df = frame(spark, texts)
-    got = {r.doc_id: r for r in line_dedup.drop_boilerplate(df, counts=True, ratio=0.2, min_pages=5).collect()}
+    got = {r.doc_id: r for r in line_dedup.drop_boilerplate(df, counts=True, ratio=0.2, min_pages=5, **few).collect()}
     host = [None if k % 7 == 6 else k % 2 for k in range(len(texts))]
-    pages, seen = collections.Counter(host), collections.Counter((h, x) for h, t in zip(host, texts) for x in set((t if t is not None else "").split("\n")) if t is not None)
-    bad = {hl for hl, n in seen.items() if n >= 5 and n > 0.2 * pages[hl[0]] and hl[1].strip(" ")}
-    assert bad
+    bad = boilerplate(list(zip(host, texts)), 0.2, 5)
+    assert bad and "\xa0" in {x for _, x in bad}
     for k, t in enumerate(texts):
         want = None if t is None else "\n".join(x for x in t.split("\n") if (host[k], x) not in bad)
         assert got[k].text == want and got[k].hits == "x"
         assert got[k].n_lines - got[k].n_removed == (0 if t is None else sum((host[k], x) not in bad for x in t.split("\n")))
-    assert line_dedup.drop_boilerplate(empty(spark)).count() == 0
+    assert line_dedup.drop_boilerplate(empty(spark), **few).count() == 0
+
+
+@pytest.mark.parametrize("few", [{}, {"broadcast_lines": 0}])
+def test_line_dedup_on_hosts_of_all_sizes(spark, few):
+    """The ratio decides, on a host of two pages as on one of 400; rows that repeat or share ids are pages each."""
+    rows = [(None if k % 3 else 7, f"own {size} {k}" + ("\nfoot" if k <= share * size else ""), f"h{size}") for size in (1, 2, 9, 40, 400) for share in (0.04, 0.06) for k in range(size)]
+    rows += [(1, "same\nrow", "copies")] * 3 + [(1, "other", "copies")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    bad = boilerplate([(h, t) for _, t, h in rows], line_dedup.RATIO, line_dedup.MIN_PAGES)
+    assert {h for h, x in bad if x == "foot"} >= {"h2", "h9"} and ("copies", "row") in bad
+    want = sorted((h, "\n".join(x for x in t.split("\n") if (h, x) not in bad)) for _, t, h in rows)
+    assert sorted((r.source, r.text) for r in line_dedup.drop_boilerplate(df, **few).collect()) == want
 
 
 # ---- 2 ----------------------------------------------------------------------------------------------------
