@@ -8,8 +8,11 @@ listed keys that level 2 accepts, and so on until a level accepts nothing wrong.
 rejects a key tells, by its parity, whether the key is listed: for the keys of the universe that is
 exact, and the pages meet no join.
 
-The cascade's words are a scalar subquery of the query that uses them, so their bound is checked:
-beyond ``MAX_LISTED`` keys a plain join on the keys (``listed_by_join``) takes the cascade's place.
+All cascades' first levels meet the universe in one pass; later levels work on false positives only.  The
+words of a cascade are a scalar subquery of the query that uses them, so what is held at once is bounded:
+keys beyond ``MAX_LISTED`` are dealt by hash into groups of that size, each with cascades of its own over
+its part of the universe, and each group is one more pass over the pages that keeps the longest rule so
+far.
 
 Defined cases: a null url, or one without ``://``, has an empty host and path and no rule; a key both
 allowed and blocked is blocked; a url that no rule fits is allowed (the cascades reject all its
@@ -24,9 +27,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .storage import stored
+from .storage import discard, stored
 
-#: Keys of a cascade: at 15 bits each some 8 MB of filter words.
+#: Keys of a group's cascades: at 15 bits each some 8 MB of filter words.
 MAX_LISTED = 4_000_000
 #: The rules of the query.
 RULES = (
@@ -112,36 +115,35 @@ def member(key: Column, words: list[Column], cascade: Cascade) -> Column:
     return out
 
 
-def build_cascade(listed: DataFrame, universe: DataFrame, *, rate: float = 0.001, salt: int = 0, max_levels: int = 40) -> Cascade:
-    """``listed`` and ``universe``: a column ``key`` each. The universe may hold repeated keys."""
-    inside = stored(listed.select("key").filter(F.col("key").isNotNull()).distinct(), "listed")
-    n = inside.count()
-    if n > MAX_LISTED:
-        raise ValueError(f"{n} keys are more than a cascade takes; use listed_by_join")
-    levels: list[Level] = []
-    mine, other = inside, None
-    while n and len(levels) < max_levels:
-        level = build_level(mine, n, rate if not levels else 0.25, salt + 2 * len(levels))
-        levels.append(level)
-        words = level.words.scalar()
-        if other is None:  # the only pass over the universe; what it keeps are false positives
-            wrong = universe.filter(accepts(F.col("key"), words, level)).distinct().join(inside, "key", "left_anti")
-        else:
-            wrong = other.filter(accepts(F.col("key"), words, level))
-        wrong = stored(wrong, "wrong")
-        mine, other, n = wrong, mine, wrong.count()
-    if n:
-        raise ValueError("the cascade did not end")
-    return Cascade(tuple(levels))
-
-
-def listed_by_join(pages: DataFrame, rules: DataFrame, lengths: list[int]) -> DataFrame:
-    """What ``judge`` gives, by an equi-join on the keys: for lists too long for a cascade."""
-    row = pages.withColumn("_row", F.monotonically_increasing_id())
-    keys = row.select("_row", F.explode(candidates(F.col("host"), F.col("path"), lengths)).alias("key"))
-    best = F.max_by(F.struct("key", "blocked"), F.struct(F.length("key"), "key"))
-    found = keys.join(rules, "key").groupBy("_row").agg(best.alias("_b"))
-    return row.join(found, "_row", "left").withColumn("rule", F.col("_b.key")).withColumn("_blocked", F.col("_b.blocked")).drop("_row", "_b")
+def build_cascades(lists: list[DataFrame], universe: DataFrame, *, rate: float = 0.001, salt: int = 0) -> list[Cascade]:
+    """A cascade a list. ``lists`` and ``universe``: a column ``key`` each. The universe may hold repeated keys.
+
+    Every level has hashes of its own and takes the keys that the last one was wrong about, a quarter of
+    those before it or fewer, so there are as many levels as the logarithm of the false positives.
+    """
+    inside = [stored(x.select("key").filter(F.col("key").isNotNull()).distinct(), "listed") for x in lists]
+    sizes = [x.count() for x in inside]
+    of = lambda i, k: salt + 1000 * i + 2 * k
+    first = [build_level(x, n, rate, of(i, 0)) if n else None for i, (x, n) in enumerate(zip(inside, sizes))]
+    flags = [accepts(F.col("key"), x.words.scalar(), x) if x else F.lit(False) for x in first]
+    names = [f"in{i}" for i in range(len(first))]
+    kept = universe.select("key", *[f.alias(c) for f, c in zip(flags, names)]).filter(" or ".join(names))
+    kept = stored(kept.distinct(), "accepted")  # the only pass over the universe
+    out = []
+    for i, level in enumerate(first):
+        levels = [level] if level else []
+        mine, other, n = inside[i], None, sizes[i]
+        while n:
+            if other is None:
+                wrong = kept.filter(names[i]).select("key").join(inside[i], "key", "left_anti")
+            else:
+                levels.append(build_level(mine, n, 0.25, of(i, len(levels))))
+                wrong = other.filter(accepts(F.col("key"), levels[-1].words.scalar(), levels[-1]))
+            wrong = stored(wrong, "wrong")
+            mine, other, n = wrong, mine, wrong.count()
+        out.append(Cascade(tuple(levels)))
+    discard(kept)
+    return out
 
 
 def judge(pages: DataFrame, rules: DataFrame, *, id_col: str = "page_id", url_col: str = "url", max_listed: int = MAX_LISTED) -> DataFrame:
@@ -150,24 +152,28 @@ def judge(pages: DataFrame, rules: DataFrame, *, id_col: str = "page_id", url_co
     rows = pages.select(F.col(id_col).alias("page_id"), host_of(url).alias("host"), path_of(url).alias("path"))
     lengths = [r[0] for r in rules.select(F.length("path")).filter(F.length("path") >= 0).distinct().collect()]  # at most a url's length
     keyed = rules.select(F.concat("host", "path").alias("key"), (F.col("verdict") == "block").alias("blocked"))
-    keyed = keyed.groupBy("key").agg(F.bool_or("blocked").alias("blocked"))
-    if keyed.count() > max_listed:
-        out = listed_by_join(rows, keyed, lengths)
-        return out.select("page_id", "host", "path", "rule", F.when(F.col("_blocked"), "block").otherwise("allow").alias("verdict"))
+    keyed = stored(keyed.filter("key is not null").groupBy("key").agg(F.bool_or("blocked").alias("blocked")), "rules")
+    groups = max(1, -(-keyed.count() // max_listed))
+    group = F.pmod(F.xxhash64("key", F.lit(groups)), F.lit(groups))
     universe = rows.select(F.explode(candidates(F.col("host"), F.col("path"), lengths)).alias("key"))
-    block = build_cascade(keyed.filter("blocked"), universe, salt=1)
-    allow = build_cascade(keyed.filter("not blocked"), universe, salt=101)
-    bw = [x.words.scalar() for x in block.levels]
-    aw = [x.words.scalar() for x in allow.levels]
-    names = [f"_b{k}" for k in range(len(bw))], [f"_a{k}" for k in range(len(aw))]
-    rows = rows.select("*", *[w.alias(c) for w, c in zip(bw + aw, names[0] + names[1])])
-    bc, ac = [F.col(c) for c in names[0]], [F.col(c) for c in names[1]]
-    verdicts = F.transform(
-        candidates(F.col("host"), F.col("path"), lengths),
-        lambda k: F.struct(F.length(k).alias("n"), k.alias("key"), member(k, bc, block).alias("blocked"), member(k, ac, allow).alias("allowed")),
-    )
-    best = F.array_max(F.filter(verdicts, lambda x: x["blocked"] | x["allowed"]))
-    rows = rows.withColumn("_best", best)
+    rows = rows.withColumn("_best", F.lit(None).cast("struct<n:int,key:string,blocked:boolean,allowed:boolean>"))
+    for g in range(groups):
+        mine, all_keys = (keyed, universe) if groups == 1 else (keyed.filter(group == g), universe.filter(group == g))
+        block, allow = build_cascades([mine.filter("blocked"), mine.filter("not blocked")], all_keys, salt=1)
+        names = [f"_b{k}" for k in range(len(block.levels))], [f"_a{k}" for k in range(len(allow.levels))]
+        held = rows.select("*", *[x.words.scalar().alias(c) for x, c in zip(block.levels + allow.levels, names[0] + names[1])])
+        bc, ac = [F.col(c) for c in names[0]], [F.col(c) for c in names[1]]
+        keys = candidates(F.col("host"), F.col("path"), lengths)
+        if groups > 1:
+            keys = F.filter(keys, lambda k: F.pmod(F.xxhash64(k, F.lit(groups)), F.lit(groups)) == g)
+        verdicts = F.transform(
+            keys,
+            lambda k: F.struct(F.length(k).alias("n"), k.alias("key"), member(k, bc, block).alias("blocked"), member(k, ac, allow).alias("allowed")),
+        )
+        best = F.array_max(F.filter(verdicts, lambda x: x["blocked"] | x["allowed"]))
+        rows = held.select("page_id", "host", "path", F.greatest("_best", best).alias("_best") if groups > 1 else best.alias("_best"))
+        if g + 1 < groups:
+            rows = stored(rows, "judged")
     return rows.select(
         "page_id",
         "host",
