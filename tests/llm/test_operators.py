@@ -304,8 +304,8 @@ def shingles(t):
     return {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
 
 
-@pytest.mark.parametrize("cluster, part", [(4000, 1500), (3, 2)])
-def test_join_against_all_pairs(spark, docs, corpus, cluster, part):
+@pytest.mark.parametrize("limits", [{}, {"cluster_sets": 3, "part_sets": 2, "bucket_bytes": 500}, {"cluster_shingles": 200, "part_shingles": 150, "frequent": 3}])
+def test_join_against_all_pairs(spark, docs, corpus, limits):
     sets = [shingles(t) for t in corpus]
     label = list(range(len(sets)))
     for i, a in enumerate(sets):
@@ -314,10 +314,34 @@ def test_join_against_all_pairs(spark, docs, corpus, cluster, part):
             if n and 100 * n >= 80 * len(a | sets[j]):
                 x, y = label[i], label[j]
                 label = [min(x, y) if v in (x, y) else v for v in label]
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.link_documents(docs, cluster_sets=cluster, part_sets=part).collect()}
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.link_documents(docs, **limits).collect()}
     assert got == {k: (len(s), label[k]) for k, s in enumerate(sets)}
 
 
+def test_join_views_of_sets_with_little_in_the_searched_half():
+    """The view that such sets take part in beside the usual ones."""
+    rng = np.random.default_rng(5)
+    half = np.uint64(1) << np.uint64(63)
+    for n, low in ((200, 0), (200, 40), (400, 79), (1000, 340), (300, 150)):
+        s = np.sort(np.concatenate([rng.integers(0, 1 << 63, low, dtype=np.uint64), rng.integers(0, 1 << 63, n - low, dtype=np.uint64) + half]))
+        views = dict(ngram_join._views(n, s))
+        assert (2 in views) == (low <= 0.36 * n + 1) and 0 not in views
+        assert sum(map(len, views.values())) == (n if 2 in views else low)
+
+
+def test_join_links_rows_that_share_an_id(spark):
+    a, b = (" ".join(f"{x}{k}" for k in range(60)) for x in "ab")
+    for rows, want in (
+        ([(3, a), (7, a + " end"), (7, b), (5, b)], {3: {3}, 7: {3}, 5: {3}}),
+        ([(3, a), (7, a), (7, b)], {3: {3}, 7: {3}}),
+        ([(7, a), (7, b), (7, None), (9, b), (2, None)], {7: {7}, 9: {7}, 2: {2}}),
+    ):
+        got = collections.defaultdict(set)
+        for r in ngram_join.link_documents(frame(spark, rows)).collect():
+            got[r.doc_id].add(r.component_id)
+        assert got == want
+
+
 def test_join_on_odd_tables(spark):
     df = frame(spark, [(None, "a b c d e f"), (4, "a b c d e f"), (4, "a b c d e f"), (2, "A B C D E F"), (9, None), (8, "")])
     got = sorted((r.doc_id or -1, r.n_shingles, r.component_id or -1) for r in ngram_join.link_documents(df).collect())
@@ -344,7 +368,8 @@ def test_signature_tree_is_exact():
         assert links.label.tolist() == label
 
 
-def test_components(spark):
+@pytest.mark.parametrize("one_task", [200_000, 0])
+def test_components(spark, one_task):
     rng = random.Random(3)
     edges = [(k, k + 1) for k in range(0, 200)] + [(1000, 1000 - k) for k in range(1, 300)] + [(rng.randint(5000, 5400), rng.randint(5000, 5400)) for _ in range(200)]
     label = {v: v for e in edges for v in e}
@@ -357,7 +382,7 @@ def test_components(spark):
     for a, b in edges:
         a, b = sorted((find(a), find(b)))
         label[b] = a
-    got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long").repartition(7)).collect()}
+    got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long").repartition(7), one_task=one_task).collect()}
     assert got == {v: find(v) for v in label if find(v) != v or any(find(u) == v for u in label if u != v)}
 
 

@@ -64,6 +64,8 @@ def _unpack(raw: np.ndarray, width: int, n: int) -> np.ndarray:
 
 def encode_ids(ids: np.ndarray, block: int = BLOCK, percentile: float = PERCENTILE) -> tuple[np.ndarray, bytes]:
     """(block starts, payload) of a run of ids."""
+    if not 0 < block <= 1 << 16:
+        raise ValueError("places in a block have 16 bits")
     nblk = -(-len(ids) // block)
     if not nblk:
         return np.empty(0, np.uint32), b""

@@ -5,12 +5,29 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Rows of a stored table that is sent to all tasks; a larger one is joined by a shuffle.
+FEW = 500_000
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``; where that is unset (tests), one under /tmp."""
+    """The application's own folder in the one named in ``spark.checkpoint.dir``.  Where that is unset, one
+    under /tmp if the session has a single machine, and an error if it has more."""
     told = spark.conf.get("spark.checkpoint.dir", None)
-    return (told or "file:///tmp/zonemark-shared").rstrip("/")
+    if not told and not spark.sparkContext.master.split("[")[0] == "local":
+        raise RuntimeError("spark.checkpoint.dir is unset: set it to a folder that the driver and all executors share")
+    return f"{(told or 'file:///tmp/zonemark-shared').rstrip('/')}/zonemark-{spark.sparkContext.applicationId}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all that ``stored`` has written for this application: for when the results have been read."""
+    _delete(spark, shared_folder(spark))
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def release(spark: SparkSession) -> None:
@@ -32,8 +49,16 @@ def stored(df: DataFrame, name: str = "step") -> DataFrame:
 
 def discard(df: DataFrame) -> None:
     """Delete the files of a ``stored`` table that is no longer read."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
     for f in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        p = jvm.org.apache.hadoop.fs.Path(f)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        _delete(df.sparkSession, f)
+
+
+def few(df: DataFrame, most: int = FEW) -> DataFrame:
+    """A ``stored`` table of a few narrow columns, marked to be sent to all tasks if its rows are few."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
+def parts_of(rows: DataFrame, text: str, part_bytes: int, least: int = 16) -> int:
+    """How many parts of about ``part_bytes`` a table's texts make."""
+    total = rows.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    return max(least, -(-total // part_bytes))
