@@ -477,8 +477,9 @@ def removed(rows):
     return out
 
 
-def test_repeats_against_brute_force(spark, docs, corpus):
-    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup.remove_repeats(docs).collect()}
+@pytest.mark.parametrize("part_bytes", [substring_dedup.PART_BYTES, 700])
+def test_repeats_against_brute_force(spark, docs, corpus, part_bytes):
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup.remove_repeats(docs, part_bytes=part_bytes).collect()}
     want = removed([(k, t or "") for k, t in enumerate(corpus)])
     assert got == want and sum(r[1] > 0 for r in got.values()) > 20
     odd = frame(spark, [(None, corpus[10]), (3, corpus[10]), (3, corpus[10]), (None, corpus[10])])

@@ -19,12 +19,14 @@ its being cut there depend on.
 * A last pass over the texts marks the words and makes the digests.
 
 Documents are dealt out by a hash of their ids, anchors and windows by themselves, each summed up within
-its part before it moves, so a passage that a third of all documents share counts once a part.
+its part before it moves, so a passage that a third of all documents share counts once a part.  There are
+as many parts and buckets as the texts' bytes ask for, so what a task holds does not grow with the input.
 
 Defined cases: null texts and texts without words have no words, and the digest of the empty string;
 rows without doc_id are kept whole and not compared; rows that share a doc_id are no repeats of each
 other; a repeat within one document is none; an empty table gives an empty result; other columns are
-not read.  Windows are told apart by 64-bit fingerprints.
+not read.  Anchors are told apart by at least 36 bits, which only lets more windows be verified; windows by
+128, two fingerprints of 64 with nothing in common, down to the bytes of the words.
 """
 
 from __future__ import annotations
@@ -38,12 +40,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .memory import lean
-from .storage import release, stored
+from .storage import parts_of, release, stored
 from .tokens import ragged
-from .words import Words, _powers, fingerprints, mix, runs, slices
+from .words import Words, _powers, fingerprints, mix, runs, second, slices
 
 WINDOW, ROUNDS = 13, 3
-MAX_PARTS = 1 << 14
+#: Text bytes a part; a part's number has 24 bits, so beyond 268 TB parts grow.
+PART_BYTES, MAX_PARTS = 16_000_000, 1 << 24
 
 
 def anchors(w: Words, width: int = WINDOW, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -103,32 +106,35 @@ def candidates(w: Words, shared: np.ndarray, span: tuple[np.ndarray, np.ndarray]
     return np.flatnonzero(ok & (np.arange(n) <= last))
 
 
-# An anchor's key: bucket, 36 bits of it, and the part that it is of, 14 bits each.
-_TOKEN = np.uint64((1 << 36) - 1)
+# An anchor is known by its bucket and 36 bits of it; what moves is these and the number of the part that it is
+# of, 24 bits.
+_TOKEN, _PART = np.uint64((1 << 36) - 1), np.uint64(MAX_PARTS - 1)
+
+
+def _anchor_bucket(a: np.ndarray, buckets: int) -> np.ndarray:
+    return (a >> np.uint64(36)) % np.uint64(buckets)
 
 
 def _anchor_ids(a: np.ndarray, buckets: int) -> np.ndarray:
-    return (a >> np.uint64(36)) % np.uint64(buckets) << np.uint64(36) | a & _TOKEN
+    return _anchor_bucket(a, buckets) << np.uint64(36) | a & _TOKEN
 
 
 def _post_anchors(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
+        held: list[tuple[np.ndarray, np.ndarray]] = []
 
         def flush() -> pa.RecordBatch:
-            keys = np.sort(np.concatenate(held))
+            at, keys = (np.concatenate([x[k] for x in held]) for k in (0, 1))
+            order = np.lexsort((keys, at.astype(np.uint16) if buckets < 65536 else at))
+            at, keys = at[order], keys[order]
             first = np.ones(len(keys), bool)
-            first[1:] = keys[1:] != keys[:-1]
+            first[1:] = (keys[1:] != keys[:-1]) | (at[1:] != at[:-1])
             again = ~first
             again[1:] &= first[:-1]  # an anchor that a part has twice is sent twice, not more often
-            keys = keys[first | again]
-            at = (keys >> np.uint64(50)).astype(np.int64)
+            at, keys = at[first | again], keys[first | again]
             cut = np.flatnonzero(np.diff(at, prepend=-1))
-            low = keys.view(np.uint8).reshape(-1, 8)[:, :7]
-            low = np.ascontiguousarray(low)
-            low[:, 6] &= 3
             return pa.RecordBatch.from_arrays(
-                [pa.array(at[cut], pa.int32()), pa.array([low[a:z].tobytes() for a, z in zip(cut, [*cut[1:], len(at)])], pa.binary())], ["bucket", "data"]
+                [pa.array(at[cut], pa.int32()), pa.array([keys[a:z].tobytes() for a, z in zip(cut, [*cut[1:], len(at)])], pa.binary())], ["bucket", "data"]
             )
 
         for b in batches:
@@ -137,11 +143,11 @@ def _post_anchors(buckets: int):
                 w = fingerprints(texts, fold_case=False)
                 a, lo, _ = anchors(w)
                 doc = np.searchsorted(w.bounds, lo, "right") - 1
-                held.append(_anchor_ids(a, buckets) << np.uint64(14) | part[at + doc])
-                if sum(map(len, held)) > 2_000_000:
+                held.append((_anchor_bucket(a, buckets).astype(np.int64), (a & _TOKEN) << np.uint64(24) | part[at + doc]))
+                if sum(len(x[0]) for x in held) > 2_000_000:
                     yield flush()
                     held = []
-        if sum(map(len, held)):
+        if sum(len(x[0]) for x in held):
             yield flush()
 
     return run
@@ -158,18 +164,14 @@ def _by_bucket(batches: Iterator[pa.RecordBatch]) -> dict[int, list[tuple]]:
 def _shared_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For each part, the anchors of a bucket that it has and that several documents have."""
     for bucket, rows in _by_bucket(batches).items():
-        low = np.concatenate([np.frombuffer(r[0], np.uint8) for r in rows]).reshape(-1, 7)
-        keys = np.zeros((len(low), 8), np.uint8)
-        keys[:, :7] = low
-        keys = np.sort(keys.view(np.uint64).ravel())
-        tok = keys >> np.uint64(14)
+        keys = np.sort(np.concatenate([np.frombuffer(r[0], np.uint64) for r in rows]))
+        tok = keys >> np.uint64(24)
         same = np.zeros(len(tok), bool)
         same[1:] = tok[1:] == tok[:-1]
         shared = same.copy()
         shared[:-1] |= same[1:]
         keys = keys[shared]
-        part, tok = keys & np.uint64(MAX_PARTS - 1), keys >> np.uint64(14)
-        both = np.unique(part << np.uint64(36) | tok)
+        both = np.unique((keys & _PART) << np.uint64(36) | keys >> np.uint64(24))
         part = (both >> np.uint64(36)).astype(np.int64)
         cut = np.flatnonzero(np.diff(part, prepend=-1))
         low = np.ascontiguousarray((both & _TOKEN).view(np.uint8).reshape(-1, 8)[:, :5])
@@ -194,8 +196,8 @@ class _Part:
         self.docs: list[int | None] = []
         self.texts: list[pa.Array] = []
 
-    def read(self) -> Iterator[tuple[list[int | None], Words, np.ndarray, np.ndarray]]:
-        """Per slice: ids, words, first words of candidate windows, fingerprints of these."""
+    def read(self) -> Iterator[tuple[list[int | None], Words, np.ndarray, np.ndarray, np.ndarray]]:
+        """Per slice: ids, words, first words of candidate windows, two fingerprints of these."""
         known = np.sort(np.concatenate(self.shared)) if self.shared else np.empty(0, np.uint64)
         texts = pa.concat_arrays(self.texts)
         for at, t in slices(texts):
@@ -210,8 +212,8 @@ class _Part:
             nobody = np.array([d is None for d in ids], bool)
             if nobody.any():
                 c = c[~nobody[np.searchsorted(w.bounds, c, "right") - 1]]
-            h = runs(w.print, WINDOW)
-            yield ids, w, c, h[c] if len(c) else np.empty(0, np.uint64)
+            none = np.empty(0, np.uint64)
+            yield ids, w, c, *([runs(x, WINDOW, k)[c] for k, x in enumerate((w.print, second(w)))] if len(c) else (none, none))
 
 
 def _parts(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[_Part]:
@@ -241,26 +243,32 @@ def _parts(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[_Part]:
         yield p
 
 
-def _lowest(p: _Part, buckets: int) -> tuple[list[tuple], np.ndarray, np.ndarray]:
-    """The part's slices, its distinct candidate windows by bucket and fingerprint, and the smallest id of each."""
-    kept = list(p.read())
-    h = np.concatenate([x[3] for x in kept])
-    doc = np.concatenate(
-        [np.array([d or 0 for d in ids], np.int64)[np.searchsorted(w.bounds, c, "right") - 1] for ids, w, c, _ in kept] or [np.empty(0, np.int64)]
-    )
-    key = h % np.uint64(buckets)
-    order = np.lexsort((doc, h, key))
-    h, doc = h[order], doc[order]
+def _lowest(p: _Part, buckets: int) -> tuple[list[tuple], np.ndarray, np.ndarray, np.ndarray]:
+    """The part's slices (ids, words, first words of candidate windows, number of each window); its distinct
+    windows in the order of their buckets and fingerprints, [window, 2], the smallest id and the bucket of each."""
+    kept, prints, docs = [], [], []
+    for ids, w, c, h, h2 in p.read():
+        kept.append((ids, w, c))
+        prints.append((h, h2))
+        docs.append(np.array([d or 0 for d in ids], np.int64)[np.searchsorted(w.bounds, c, "right") - 1] if len(ids) else np.empty(0, np.int64))
+    h, h2 = (np.concatenate([x[k] for x in prints]) for k in (0, 1))
+    doc = np.concatenate(docs)
+    at = (h % np.uint64(buckets)).astype(np.int64)
+    order = np.lexsort((doc, h2, h, at))
+    h, h2, doc, at = h[order], h2[order], doc[order], at[order]
     first = np.ones(len(h), bool)
-    first[1:] = h[1:] != h[:-1]
-    return kept, h[first], doc[first]
+    first[1:] = (h[1:] != h[:-1]) | (h2[1:] != h2[:-1])
+    number = np.empty(len(h), np.int64)
+    number[order] = np.cumsum(first) - 1
+    ends = np.cumsum([0, *(len(c) for _, _, c in kept)])
+    kept = [(*x, number[a:z]) for x, a, z in zip(kept, ends[:-1], ends[1:])]
+    return kept, np.column_stack([h[first], h2[first]]), doc[first], at[first]
 
 
 def _post_windows(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for p in _parts(batches, buckets):
-            _, h, doc = _lowest(p, buckets)
-            at = (h % np.uint64(buckets)).astype(np.int64)
+            _, h, doc, at = _lowest(p, buckets)
             cut = np.flatnonzero(np.diff(at, prepend=-1))
             ends = [*cut[1:], len(at)]
             if len(cut):
@@ -280,15 +288,15 @@ def _post_windows(buckets: int):
 def _reply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For each window of each part: has another part a smaller document with it?"""
     for bucket, rows in _by_bucket(batches).items():
-        h = np.concatenate([np.frombuffer(r[1], np.uint64) for r in rows])
+        h = np.concatenate([np.frombuffer(r[1], np.uint64) for r in rows]).reshape(-1, 2)
         doc = np.concatenate([np.frombuffer(r[2], np.int64) for r in rows])
-        order = np.lexsort((doc, h))
+        order = np.lexsort((doc, h[:, 1], h[:, 0]))
         first = np.ones(len(h), bool)
-        first[1:] = h[order][1:] != h[order][:-1]
+        first[1:] = (h[order][1:] != h[order][:-1]).any(1)
         low = np.repeat(doc[order][first], np.diff(np.append(np.flatnonzero(first), len(h))))
         smaller = np.empty(len(h), bool)
         smaller[order] = low < doc[order]
-        n = [len(r[1]) // 8 for r in rows]
+        n = [len(r[2]) // 8 for r in rows]
         ends = np.cumsum(n)
         yield pa.RecordBatch.from_arrays(
             [
@@ -306,16 +314,12 @@ RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 def _remove(buckets: int, with_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for p in _parts(batches, buckets):
-            kept, h, low = _lowest(p, buckets)
-            at = (h % np.uint64(buckets)).astype(np.int64)
-            other = np.zeros(len(h), bool)
+            kept, _, low, at = _lowest(p, buckets)
+            other = np.zeros(len(low), bool)
             cut = np.flatnonzero(np.diff(at, prepend=-1))
             for a, z in zip(cut, [*cut[1:], len(at)]):
                 other[a:z] = p.bits[int(at[a])][: z - a]
-            order = np.argsort(h)
-            h, low, other = h[order], low[order], other[order]
-            for ids, w, c, ch in kept:
-                k = np.searchsorted(h, ch)
+            for ids, w, c, k in kept:
                 doc = np.searchsorted(w.bounds, c, "right") - 1
                 mine = np.array([d or 0 for d in ids], np.int64)
                 gone = other[k] | (low[k] < mine[doc]) if len(c) else np.zeros(0, bool)
@@ -351,28 +355,33 @@ def _digests(ids: list, w: Words, drop: np.ndarray, with_text: bool) -> pa.Recor
     return pa.RecordBatch.from_arrays(cols, names)
 
 
-def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False, part_bytes: int = PART_BYTES) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 for every row; with ``with_text`` also the kept words."""
     spark = docs.sparkSession
-    parts = min(MAX_PARTS, max(8, int(spark.conf.get("spark.sql.shuffle.partitions"))))
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
+    parts = min(MAX_PARTS, parts_of(rows, "text", part_bytes))
     rows = rows.withColumn("part", F.pmod(F.xxhash64("doc"), F.lit(parts)).cast("int"))
-    posted = rows.filter("doc is not null and text is not null").select("part", "text").mapInArrow(lean(_post_anchors(parts)), "bucket int, data binary")
-    shared = stored(posted.repartition("bucket").mapInArrow(lean(_shared_anchors), "part int, bucket int, data binary"), "shared")
+    shared = _shared(rows, parts)
+    release(spark)  # the texts of one round are gone before those of the next are dealt out
+    replies = _replies(rows, shared, parts)
     release(spark)
+    return _dealt(rows, parts, [shared, replies]).mapInArrow(lean(_remove(parts, with_text)), RESULT + (", kept string" if with_text else ""))
 
-    def dealt(replies: DataFrame | None) -> DataFrame:
-        none, text = F.lit(None), F.lit(None).cast("string")
-        told = [shared.select("part", F.lit(0).alias("kind"), "bucket", "data", none.cast("long").alias("doc"), text.alias("text"))]
-        if replies is not None:
-            told.append(replies.select("part", F.lit(1).alias("kind"), "bucket", "data", none.cast("long").alias("doc"), text.alias("text")))
-        told.append(rows.select("part", F.lit(2).alias("kind"), none.cast("int").alias("bucket"), none.cast("binary").alias("data"), "doc", "text"))
-        all_rows = told[0]
-        for t in told[1:]:
-            all_rows = all_rows.unionByName(t)
-        return all_rows.repartition("part").sortWithinPartitions("part", "kind")
-
-    windows = dealt(None).mapInArrow(lean(_post_windows(parts)), "bucket int, part int, h binary, doc binary")
-    replies = stored(windows.repartition("bucket").mapInArrow(lean(_reply), "part int, bucket int, data binary"), "replies")
-    release(spark)
-    return dealt(replies).mapInArrow(lean(_remove(parts, with_text)), RESULT + (", kept string" if with_text else ""))
+
+def _shared(rows: DataFrame, parts: int) -> DataFrame:
+    posted = rows.filter("doc is not null and text is not null").select("part", "text").mapInArrow(lean(_post_anchors(parts)), "bucket int, data binary")
+    return stored(posted.repartitionById(parts, F.col("bucket")).mapInArrow(lean(_shared_anchors), "part int, bucket int, data binary"), "shared")
+
+
+def _replies(rows: DataFrame, shared: DataFrame, parts: int) -> DataFrame:
+    windows = _dealt(rows, parts, [shared]).mapInArrow(lean(_post_windows(parts)), "bucket int, part int, h binary, doc binary")
+    return stored(windows.repartitionById(parts, F.col("bucket")).mapInArrow(lean(_reply), "part int, bucket int, data binary"), "replies")
+
+
+def _dealt(rows: DataFrame, parts: int, told: list[DataFrame]) -> DataFrame:
+    """What the parts are told (kinds 0 and 1) and their texts (kind 2), a part a task."""
+    none, text = F.lit(None), F.lit(None).cast("string")
+    out = rows.select("part", F.lit(2).alias("kind"), none.cast("int").alias("bucket"), none.cast("binary").alias("data"), "doc", "text")
+    for k, t in enumerate(told):
+        out = out.unionByName(t.select("part", F.lit(k).alias("kind"), "bucket", "data", none.cast("long").alias("doc"), text.alias("text")))
+    return out.repartitionById(parts, F.col("part")).sortWithinPartitions("part", "kind")

@@ -23,7 +23,8 @@ _FOLD[ord("A") : ord("Z") + 1] += 32
 _rng = np.random.Generator(np.random.PCG64(20240229))
 _BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = np.uint64(0x5851F42D4C957F2D | 3)
-_ROW = _rng.integers(1, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_ROW = _rng.integers(1, 1 << 63, (2, 64), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_BYTE2 = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _POWERS: list[np.ndarray] = []
 
 
@@ -82,14 +83,23 @@ def fingerprints(texts: pa.Array, fold_case: bool) -> Words:
     return Words(h, first, end, np.searchsorted(first, off), raw)
 
 
-def runs(h: np.ndarray, width: int) -> np.ndarray:
+def second(w: Words) -> np.ndarray:
+    """Fingerprints of the words that have nothing in common with the first ones: another table of the
+    bytes, and a word's bytes taken from its end on."""
+    power, inverse = _powers(len(w.raw) + 1)
+    sums = np.zeros(len(w.raw) + 1, np.uint64)
+    np.cumsum(_BYTE2[w.raw] * inverse[: len(w.raw)], out=sums[1:])
+    return mix((sums[w.end] - sums[w.first]) * power[w.end] ^ (w.end - w.first).astype(np.uint64))
+
+
+def runs(h: np.ndarray, width: int, kind: int = 0) -> np.ndarray:
     """Fingerprints of the runs of ``width`` consecutive words, by where they begin."""
     n = len(h) - width + 1
     if n <= 0:
         return np.empty(0, np.uint64)
-    out = h[:n] * _ROW[0]
+    out = h[:n] * _ROW[kind, 0]
     for k in range(1, width):
-        out += h[k : k + n] * _ROW[k]
+        out += h[k : k + n] * _ROW[kind, k]
     return mix(out)
 
 
