@@ -220,33 +220,77 @@ def test_blocks_round_trip(n, high):
 # ---- 4 ----------------------------------------------------------------------------------------------------
 
 
-def test_neighbours(spark):
+def nearest(ids, x, q, k=5):
+    """(id, cosine) of the k nearest rows of other ids, by scaled doubles."""
+    m = np.array([v / np.abs(v).max() for v in x.astype(np.float64)])
+    norm = np.sqrt((m * m).sum(1))
+    s = (m * m[q]).sum(1) / (norm * norm[q])
+    order = [j for j in np.lexsort((ids, -s)) if ids[j] != ids[q]][:k]
+    return [(int(ids[j]), float(s[j])) for j in order]
+
+
+def clustered(n, groups, dim, rng):
+    return rng.normal(size=(groups, dim))[rng.integers(0, groups, n)] + 0.15 * rng.normal(size=(n, dim))
+
+
+@pytest.mark.parametrize("options", [{}, {"max_parts": 4, "part_rows": 60, "sample": 300}, {"block_bytes": 64 * 16 * 8, "max_parts": 1}])
+def test_neighbours(spark, options):
     rng = np.random.default_rng(4)
-    x = rng.normal(size=(1500, 16)).astype(np.float32)
+    x = clustered(1500, 40, 16, rng).astype(np.float32)
     x[200:500] = x[7]
     rows = [(k, v.tolist(), 1) for k, v in enumerate(x)]
     odd = [(5000, None, 0), (5050, [0.0] * 16, 0), (5100, [float("nan")] * 16, 0), (5150, [None] * 16, 0), (5200, [1.0] * 3, 0), (None, [1.0] * 16, 0)]
     df = spark.createDataFrame(rows + odd, "vec_id long, embedding array<float>, part int").repartition(4)
-    d = x.astype(np.float64)
-    norm = np.sqrt((d * d).sum(1))
-    hits = 0
-    for part_rows, blocks in ((10_000, 4096), (300, 100)):
-        got = collections.defaultdict(dict)
-        for r in ann.search(df, F.col("vec_id") % 50 == 0, part_rows=part_rows, block_rows=blocks, block_queries=8).collect():
-            got[r.query_id][r.rank] = (r.vec_id, r.score)
-        assert sorted(got) == list(range(0, 1500, 50)) and all(sorted(g) == [1, 2, 3, 4, 5] for g in got.values())
-        for q, g in got.items():
-            s = (d * d[q]).sum(1) / (norm * norm[q])
-            s[q] = -2
-            best = np.lexsort((np.arange(1500), -s))[:5]
-            assert all(abs(s[v] - c) < 1e-12 for v, c in g.values())
-            if part_rows == 10_000:
-                assert [g[k][0] for k in range(1, 6)] == best.tolist()
-            else:
-                hits += len({v for v, _ in g.values()} & set(best.tolist()))
+    got = collections.defaultdict(dict)
+    for r in ann.search(df, F.col("vec_id") % 50 == 0, **options).collect():
+        got[r.query_id][r.rank] = (r.vec_id, r.score)
+    assert sorted(got) == list(range(0, 1500, 50)) and all(sorted(g) == [1, 2, 3, 4, 5] for g in got.values())
+    ids, hits = np.arange(1500), 0
+    for q, g in got.items():
+        want = nearest(ids, x, q)
+        score = dict(want) | {v: c for v, c in nearest(ids, x, q, 1499)}
+        assert all(abs(score[v] - c) < 1e-12 for v, c in g.values())
+        hits += len({v for v, _ in g.values()} & {v for v, _ in want})
+        if options.get("max_parts") == 1:
+            assert [g[k][0] for k in range(1, 6)] == [v for v, _ in want]
     assert hits >= 0.9 * 5 * 30
-    assert ann.search(df.limit(0), F.lit(True)).count() == 0
-    assert ann.search(df.filter("vec_id in (0, 1, 2)"), F.col("vec_id") == 0).count() == 2
+    assert ann.search(df.limit(0), F.lit(True), **options).count() == 0
+    assert ann.search(df.filter("vec_id in (0, 1, 2)"), F.col("vec_id") == 0, **options).count() == 2
+
+
+@pytest.mark.parametrize("n", [40, 500, 3000])
+def test_parts_are_learned_and_few_of_them_searched(n):
+    """At every size; recall at least 0.9 with at most half of the rows compared, on vectors in clusters."""
+    rng = np.random.default_rng(n)
+    x = clustered(n, max(4, n // 30), 24, rng)
+    r = ann.learn(x, 1 << int(np.log2(n) / 2))
+    assert r.parts > 1
+    u = ann.unit(x)
+    own, (i, part) = r.own(u), r.search(u)
+    size = np.bincount(own, minlength=r.parts)
+    assert size[part].sum() <= 0.5 * n * n
+    near = ann.neighbour_graph(u, 5)
+    searched = np.zeros((n, r.parts), bool)
+    searched[i, part] = True
+    assert np.take_along_axis(searched, own[near], axis=1).mean() >= 0.9
+
+
+def test_neighbours_of_very_large_and_small_vectors(spark):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(60, 8)) * 10.0 ** rng.choice([-200, 0, 200], 60)[:, None]
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    for r in ann.search(df, F.col("vec_id") < 60, max_parts=1).collect():
+        v, c = nearest(np.arange(60), x, r.query_id)[r["rank"] - 1]
+        assert r.vec_id == v and abs(r.score - c) < 1e-12
+
+
+def test_neighbours_of_rows_that_share_an_id(spark):
+    x = np.array([[1, 0.0], [0.9, 0.1], [0, 1.0], [1, 0.05], [0.05, 1]])
+    ids = [1, 1, 2, 3, 4]
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in zip(ids, x)], "vec_id long, embedding array<double>")
+    got = sorted((r["rank"], r.vec_id) for r in ann.search(df, F.col("vec_id") == 1, k=3).collect())
+    assert got == [(1, 3), (2, 3), (3, 4)]
+    assert [r.vec_id for r in ann.search(df, F.col("vec_id") == 2, k=2).orderBy("rank").collect()] == [4, 1]
 
 
 # ---- 5 ----------------------------------------------------------------------------------------------------

@@ -2,25 +2,31 @@
 
 1. On a sample of at most ``SAMPLE`` vectors (those of smallest hash) the graph of the nearest neighbours
    is made and cut into parts of equal size with few edges between them: recursive bisection, each
-   refined by moving pairs of vertices to where more of their neighbours are.
+   refined by moving pairs of vertices to where more of their neighbours are.  There are about as many
+   parts as the square root of the rows.  Parts that hold more than twice ``PART_ROWS`` are cut in the
+   same way again, each on a sample of its own and in a task of its own; so up to 65,536 parts.
 2. A small network learns from a vector the parts of its neighbours. It gives every vector of the table
-   one part (the index) and every query several, the most probable first. How many: the fewest with
-   which sample queries find ``TARGET`` of their neighbours in the sample.
+   one part (the index) and every query several, the most probable first, until their probabilities add
+   up to a mass: the smallest with which held-out sample queries find ``TARGET`` of their neighbours.
+   A query that the network is sure about is searched for in few parts, another in more.
 3. A query is compared with all rows of its parts, in blocks of bounded size, in double precision; blocks
    give their best, and a window keeps the best of all blocks.
 
-Tables that one part can hold are compared in one part, which is exact.  Equal vectors of a block count
-once in the comparison and keep as many of their smallest ids as a result can show.
+Tables of fewer than ``LEAST`` vectors are one part.  Equal vectors of a block count once in the
+comparison and keep as many of their smallest ids as a result can show.
 
 Defined cases: vectors that are null, zero, of another length than most, or hold null or non-finite
-components take no part, as query or candidate; fewer candidates than asked for give as many rows as
-there are; equal scores go by smaller id; rows without id take no part; rows that share an id are rows
-of their own, but none is a neighbour of its own id; an empty table gives an empty result.
+components take no part, as query or candidate; very large and very small components are scaled by powers
+of two before they are squared; fewer candidates than asked for give as many rows as there are; equal
+scores go by smaller id; rows without id take no part; rows that share an id are rows of their own, but
+none is a neighbour of its own id, and queries that share an id have one list, the nearest to any of
+them; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
 
 import math
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -30,15 +36,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .storage import stored
+from .storage import discard, stored
 
-SAMPLE, PART_ROWS, MAX_PARTS = 8192, 2500, 256
-NEIGHBOURS, TARGET = 10, 0.96
-BLOCK_ROWS, BLOCK_QUERIES = 4096, 512
+SAMPLE, PART_ROWS, MAX_PARTS, LEAST = 8192, 16_384, 256, 32
+NEIGHBOURS, TARGET = 10, 0.97
+#: Bytes of a block of rows, and of the queries that it is compared with at once.
+BLOCK_BYTES, CHUNK = 8_000_000, 256
+
+
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Rows times powers of two, so that their largest components lie between a half and one: their squares
+    neither overflow nor vanish, and nothing is rounded."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(1, keepdims=True))[1])
 
 
 def unit(x: np.ndarray) -> np.ndarray:
-    return x / np.linalg.norm(x, axis=1, keepdims=True)
+    x = scaled(x)
+    return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
 def neighbour_graph(x: np.ndarray, k: int) -> np.ndarray:
@@ -95,10 +109,34 @@ class Router:
     b1: np.ndarray
     w2: np.ndarray
     b2: np.ndarray
-    probes: int
+    mass: float
+
+    @property
+    def parts(self) -> int:
+        return len(self.b2)
+
+    def probabilities(self, x: np.ndarray) -> np.ndarray:
+        """Of unit vectors, [vector, part]."""
+        z = np.maximum(x * math.sqrt(x.shape[1]) @ self.w1 + self.b1, 0) @ self.w2 + self.b2
+        p = np.exp(z - z.max(1, keepdims=True))
+        return p / p.sum(1, keepdims=True)
+
+    def own(self, x: np.ndarray) -> np.ndarray:
+        """The part of each vector in the index."""
+        return self.probabilities(x).argmax(1)
 
-    def scores(self, x: np.ndarray) -> np.ndarray:
-        return np.maximum(x @ self.w1 + self.b1, 0) @ self.w2 + self.b2
+    def search(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(vector, part): the parts to search for each vector."""
+        order, before = _ordered(self.probabilities(x))
+        i, rank = np.nonzero(before < self.mass)
+        return i, order[i, rank]
+
+
+def _ordered(p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Parts by falling probability, and the mass of those before each."""
+    order = np.argsort(-p, axis=1, kind="stable")
+    falling = np.take_along_axis(p, order, axis=1)
+    return order, np.cumsum(falling, axis=1) - falling
 
 
 def train(x: np.ndarray, target: np.ndarray, hidden: int = 128, epochs: int = 25, batch: int = 256, rate: float = 0.003) -> list[np.ndarray]:
@@ -124,29 +162,36 @@ def train(x: np.ndarray, target: np.ndarray, hidden: int = 128, epochs: int = 25
     return ws
 
 
+def alone(dim: int) -> Router:
+    """One part for all."""
+    return Router(np.zeros((dim, 1)), np.zeros(1), np.zeros((1, 1)), np.zeros(1), 1.0)
+
+
 def learn(x: np.ndarray, parts: int, k: int = 5, target: float = TARGET) -> Router:
-    """A router from a sample of vectors."""
-    x = np.unique(unit(x.astype(np.float64)), axis=0) * math.sqrt(x.shape[1])
-    u = x / math.sqrt(x.shape[1])
+    """A router from a sample of vectors, to at most ``parts`` parts, a power of two."""
+    u = np.unique(unit(x.astype(np.float64)), axis=0)
+    while parts > 1 and 4 * parts > len(u):
+        parts //= 2
+    if parts < 2:
+        return alone(x.shape[1])
     near = neighbour_graph(u, NEIGHBOURS)
     label = balanced_parts(u, near, parts)
-    share = np.zeros((len(x), parts))
-    np.add.at(share, (np.repeat(np.arange(len(x)), near.shape[1]), label[near].ravel()), 1.0)
-    share[np.arange(len(x)), label] += 1
+    share = np.zeros((len(u), parts))
+    np.add.at(share, (np.repeat(np.arange(len(u)), near.shape[1]), label[near].ravel()), 1.0)
+    share[np.arange(len(u)), label] += 1
     share /= share.sum(1, keepdims=True)
-    held = np.arange(len(x)) % 8 == 0
-    ws = train(x[~held], share[~held])
-    router = Router(*ws, probes=parts)
+    held = np.arange(len(u)) % 4 == 0 if len(u) < 2000 else np.arange(len(u)) % 8 == 0
+    router = Router(*train(u[~held] * math.sqrt(u.shape[1]), share[~held]), mass=2.0)
     # rows are indexed by the network too, so it is its own parts in which neighbours have to be found
-    s = router.scores(x)
-    own = s.argmax(1)
-    rank = np.empty_like(s, dtype=np.int64)
-    np.put_along_axis(rank, np.argsort(-s, axis=1), np.arange(parts)[None, :], axis=1)
+    p = router.probabilities(u)
+    own, (order, before) = p.argmax(1), _ordered(p)
+    rank = np.empty_like(order)
+    np.put_along_axis(rank, order, np.arange(parts)[None, :], axis=1)
     best = neighbour_graph(u, k)
-    need = np.take_along_axis(rank, own[best], axis=1)[held].ravel()
-    found = np.cumsum(np.bincount(need, minlength=parts)) / max(1, len(need))
-    router.probes = int(np.searchsorted(found, target) + 1) if len(need) else parts
-    router.probes = min(parts, router.probes)
+    need = np.take_along_axis(before, np.take_along_axis(rank, own[best], axis=1), axis=1)[held].ravel()
+    # of few held-out neighbours more have to be found
+    at = math.ceil((target * len(need) + 2) / (len(need) + 2) * len(need))
+    router.mass = float(np.sort(need)[min(at, len(need)) - 1]) + 1e-9
     return router
 
 
@@ -159,37 +204,79 @@ def _matrix(col: pa.Array, dim: int) -> np.ndarray:
     return col.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
 
 
-def _route(rows: DataFrame, router: Router, dim: int, many: bool) -> DataFrame:
+def _sampled(rows: DataFrame, sample: int, total: int) -> DataFrame:
+    """About ``sample`` and never more than twice as many of ``total`` rows, by hash of their ids."""
+    if total <= sample:
+        return rows
+    cut = math.ceil(1.3 * sample / total * (1 << 30))
+    return rows.filter(F.pmod(F.xxhash64("id", F.lit(7)), F.lit(1 << 30)) < cut)
+
+
+def _route(rows: DataFrame, first: Router, more: dict[int, Router], dim: int, many: bool) -> DataFrame:
     """(id, vec, part): each row with its part, or with each of the parts to be searched."""
-    held = rows.sparkSession.sparkContext.broadcast(router)  # of a fixed size
-    n = router.probes if many else 1
+    held = rows.sparkSession.sparkContext.broadcast((first, more))  # MAX_PARTS + 1 small networks at most
+
+    def of(r: Router, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return r.search(x) if many else (np.arange(len(x)), r.own(x))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        r = held.value
+        top, under = held.value
         for b in batches:
             if not b.num_rows:
                 continue
-            x = unit(_matrix(b.column(1), dim)) * math.sqrt(dim)
-            s = r.scores(x)
-            top = np.argsort(-s, axis=1, kind="stable")[:, :n] if many else s.argmax(1)[:, None]
-            i = np.repeat(np.arange(len(x)), n)
-            t = b.take(pa.array(i))
-            yield pa.RecordBatch.from_arrays([t.column(0), t.column(1), pa.array(top.ravel().astype(np.int32))], ["id", "vec", "part"])
+            x = unit(_matrix(b.column(1), dim))
+            i, part = of(top, x)
+            rows_, parts = [], []
+            for p in np.unique(part):
+                mine = i[part == p]
+                j, child = of(under[p], x[mine]) if p in under else (np.arange(len(mine)), np.zeros(len(mine), np.int64))
+                rows_.append(mine[j])
+                parts.append(p * MAX_PARTS + child)
+            t = b.take(pa.array(np.concatenate(rows_)))
+            yield pa.RecordBatch.from_arrays([t.column(0), t.column(1), pa.array(np.concatenate(parts).astype(np.int32))], ["id", "vec", "part"])
 
     return rows.mapInArrow(run, "id long, vec array<double>, part int")
 
 
+def _learn_parts(index: DataFrame, sizes: dict[int, int], part_rows: int, sample: int, dim: int, k: int, target: float) -> dict[int, Router]:
+    """Routers within the parts that are too large, each learned in a task of its own."""
+    large = {p: n for p, n in sizes.items() if n > 2 * part_rows}
+    if not large:
+        return {}
+    cuts = [(p, math.ceil(min(1.0, 1.3 * sample / n) * (1 << 30)), min(MAX_PARTS, 1 << math.ceil(math.log2(n / part_rows)))) for p, n in large.items()]
+    side = F.broadcast(index.sparkSession.createDataFrame(cuts, "part int, cut long, parts int"))  # MAX_PARTS rows at most
+    some = index.join(side, "part").filter(F.pmod(F.xxhash64("id", F.lit(8)), F.lit(1 << 30)) < F.col("cut"))
+
+    def run(t: pa.Table) -> pa.Table:
+        x = _matrix(t.column("vec").combine_chunks(), dim)
+        order = np.argsort(t.column("id").to_numpy(), kind="stable")
+        r = learn(x[order], t.column("parts")[0].as_py(), k, target)
+        data = pickle.dumps([a.astype(np.float32) for a in (r.w1, r.b1, r.w2, r.b2)] + [r.mass])
+        return pa.table([pa.array([t.column("part")[0].as_py()], pa.int32()), pa.array([data], pa.binary())], ["part", "data"])
+
+    got = some.select("part", "parts", "id", "vec").groupBy("part").applyInArrow(run, "part int, data binary").collect()
+    return {r["part"] // MAX_PARTS: Router(*pickle.loads(r["data"])) for r in got}
+
+
 def _best(q_id: np.ndarray, q: np.ndarray, c_id: np.ndarray, c: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query, candidate, cosine): of each query the k best candidates of a block, exactly, ties to the
     smaller id."""
     order = np.argsort(c_id, kind="stable")
-    c_id, c = c_id[order], np.ascontiguousarray(c[order])
-    _, first, back = np.unique(c.view([("", c.dtype)] * c.shape[1]).ravel(), return_index=True, return_inverse=True)
+    c_id, c = c_id[order], np.ascontiguousarray(scaled(c[order]))
+    q = scaled(q)
+    _, first, back = np.unique(c.view(np.dtype((np.void, c.dtype.itemsize * c.shape[1]))).ravel(), return_index=True, return_inverse=True)
     by = np.argsort(back.ravel(), kind="stable")  # ids of equal vectors, ascending
     size = np.bincount(back.ravel(), minlength=len(first))
     start = np.cumsum(size) - size
     v = c[first]
-    nv, nq = np.sqrt((v * v).sum(1)), np.sqrt((q * q).sum(1))
+    nv = np.sqrt((v * v).sum(1))
+    got = [_nearest(q_id[lo : lo + CHUNK], q[lo : lo + CHUNK], c_id, c, v, nv, by, size, start, k) for lo in range(0, len(q), CHUNK)]
+    return tuple(np.concatenate(x) for x in zip(*got))
+
+
+def _nearest(q_id, q, c_id, c, v, nv, by, size, start, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For some queries; v: the different ones of the candidates c, each ``size`` times, from ``start`` on in ``by``."""
+    nq = np.sqrt((q * q).sum(1))
     s = (q / nq[:, None]) @ (v / nv[:, None]).T
     kk = min(k + 1, len(v))
     low = np.partition(s, len(v) - kk, axis=1)[:, len(v) - kk] - 1e-9
@@ -222,9 +309,9 @@ def search(
     k: int = 5,
     sample: int = SAMPLE,
     part_rows: int = PART_ROWS,
+    max_parts: int = MAX_PARTS,
     target: float = TARGET,
-    block_rows: int = BLOCK_ROWS,
-    block_queries: int = BLOCK_QUERIES,
+    block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
     """query_id, rank, vec_id, score: for the rows for which ``queries`` holds, the k nearest others."""
     spark = rows.sparkSession
@@ -234,20 +321,25 @@ def search(
     some = rows.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), vec.alias("vec"), F.coalesce(queries, F.lit(False)).alias("q"))
     some = some.filter(_valid(F.col("vec"), dim))
     total = some.count()
-    parts = 1
-    while parts < min(MAX_PARTS, total / part_rows):
-        parts *= 2
-    if parts == 1:
-        router = Router(np.zeros((dim, 1)), np.zeros(1), np.zeros((1, 1)), np.zeros(1), 1)
+    if total < LEAST:
+        first = alone(dim)
     else:
-        few = some.orderBy(F.xxhash64("id", F.lit(7)), "id").limit(sample).select("vec").toArrow()
-        router = learn(_matrix(few.column("vec").combine_chunks(), dim), parts, k, target)
-    index = stored(_route(some.select("id", "vec"), router, dim, False), "index")
-    asked = stored(_route(some.filter("q").select("id", "vec"), router, dim, True), "asked")
-    # blocks of a part, of rows and of queries: each pair of blocks meets once
-    size = {r["part"]: r["n"] for r in index.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a part
-    number = {r["part"]: r["n"] for r in asked.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()}
-    cut = [(p, max(1, -(-size.get(p, 0) // block_rows)), max(1, -(-number.get(p, 0) // block_queries))) for p in range(parts)]
+        few = _sampled(some, sample, total).orderBy(F.xxhash64("id", F.lit(7)), "id", "vec").limit(sample).select("vec").toArrow()
+        first = learn(_matrix(few.column("vec").combine_chunks(), dim), min(max_parts, 1 << int(math.log2(total) / 2)), k, target)
+    per_part = lambda t: {r["part"]: r["n"] for r in t.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()}  # noqa: E731  a row a part
+    index = stored(_route(some.select("id", "vec"), first, {}, dim, False), "index")
+    size = per_part(index)
+    more = _learn_parts(index, size, part_rows, sample, dim, k, target)
+    if more:
+        coarse, index = index, stored(_route(index.select("id", "vec"), first, more, dim, False), "index")
+        discard(coarse)
+        size = per_part(index)
+    asked = stored(_route(some.filter("q").select("id", "vec"), first, more, dim, True), "asked")
+    number = per_part(asked)
+    # blocks of a part, of rows and of queries: each pair of blocks meets once. The queries of a part are
+    # mostly one block, so its rows move once.
+    block = max(64, block_bytes // (8 * dim))
+    cut = [(p, -(-n // block), -(-number[p] // (2 * block))) for p, n in size.items() if p in number]
     blocks = F.broadcast(spark.createDataFrame(cut, "part int, nb int, nq int"))
     left = index.join(blocks, "part").withColumn("b", F.pmod(F.xxhash64("id", F.lit(1)), F.col("nb")).cast("int"))
     left = left.withColumn("a", F.explode(F.sequence(F.lit(0), F.col("nq") - 1)))
