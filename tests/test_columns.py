@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -163,3 +165,17 @@ def test_streams(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert {(r.outcode, r.n) for r in spark.table("codes_by_hour").collect()} == {("US-90210", 2), (None, 1)}
+
+
+def test_plain_postcodes_read_as_by_the_whole_grammar(spark):
+    """The quick way gives what the grammar gives, or nothing."""
+    rng = random.Random(12)
+    texts = []
+    for _ in range(4000):
+        t = rng.choice(["B", "BA", "SW", "E", "ZZ", "QX", "L", "GIR"]) + rng.choice(["0", "1", "9", "00", "05", "10", "1A", "2W", "1M", "0A", ""]) + rng.choice(["", " ", "   ", "-"]) + rng.choice("0159") + rng.choice(["AA", "QX", "CI", "B", "1", "A A"])
+        texts.append((t,))
+    df = spark.createDataFrame(texts, "t string").select("t", uk.uk_plain(F.col("t")).alias("a"), uk.uk_native(F.col("t"), False).alias("b"), uk.uk_plain(F.col("t"), letters=True).alias("c"), C._payload_of("GB", F.col("t")).alias("d"))
+    rows = df.collect()
+    assert all(r.a in (None, r.b) and r.c in (None, r.d) for r in rows)
+    assert sum(r.a is not None for r in rows) > 500 and sum(r.c is not None for r in rows) > 100
+    assert all(r.b == r.a for r in rows if "-" not in r.t and "A A" not in r.t)

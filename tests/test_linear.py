@@ -15,7 +15,7 @@ LINES = {cc: line(R.format(cc).regex) for cc in R.countries() if R.format_name(c
 
 
 def test_most_patterns_are_lines():
-    assert sum(x is not None for x in LINES.values()) == 150
+    assert sum(x is not None for x in LINES.values()) == 160
     for cc, x in LINES.items():
         assert x is None or x.after[0] == language(R.format(cc).regex).size
     assert line(r"(A|BC)\d") is None and line(r"[A -]\d") is None and line(r"\d(-)?") is None

@@ -21,7 +21,7 @@ from ..plans.registry import CodeError, Registry, world_registry
 from . import codes
 from .codes import MIN_LONG
 from .linear import Line, line
-from .uk import fold, let, uk_native, uk_render
+from .uk import fold, let, uk_native, uk_plain, uk_render
 
 ColumnOrName = Column | str
 _PAYLOAD = (1 << 48) - 1
@@ -82,13 +82,8 @@ def _bits(*fields: tuple[Column, int]) -> Column:
 # ---- reading --------------------------------------------------------------------------------------------
 
 
-def _group(t: Column, regex: str, n: int) -> Column:
-    return F.regexp_extract(t, rf"^(?:{regex})\z", n)
-
-
-def _num(s: Column) -> Column:
-    """A run of digits; an empty one is null."""
-    return F.when(s != "", s.try_cast("long"))
+def _fits(t: Column, regex: str) -> Column:
+    return t.rlike(rf"^(?:{regex})\z")
 
 
 def _letter(s: Column) -> Column:
@@ -114,33 +109,31 @@ def _payload_of(name: str, t: Column) -> Column:
     """The payload of a folded text in a compiled format; null if it is no code."""
     if name == "GB":
         return let(uk_native(t, partial=True), lambda v: F.when(_gb_rules(v), v))
+    digits = lambda s, at, n: F.substring(s, at, n).cast("long")  # noqa: E731  what the pattern has found to be digits
+    alpha = lambda s, at: _letter(F.substring(s, at, 1))
+    none = F.lit(0).cast("long")
     if name == "US":
-        rx = r"([0-9]{5})(?:[- ]?(?!0000)([0-9]{4}))?"
-        a = _num(_group(t, rx, 1))
-        return _bits((a, 14)).bitwiseOR(F.coalesce(_num(_group(t, rx, 2)), F.lit(0).cast("long")))
+        plus4 = F.when(F.length(t) > 5, digits(t, -4, 4)).otherwise(none)
+        return F.when(_fits(t, r"[0-9]{5}(?:[- ]?(?!0000)[0-9]{4})?"), _bits((digits(t, 1, 5), 14)).bitwiseOR(plus4))
     if name == "BR":
-        rx = r"([0-9]{5})(?:-?([0-9]{3}))?"
-        return _bits((_num(_group(t, rx, 1)), 11)).bitwiseOR(F.coalesce(_num(_group(t, rx, 2)) + 1024, F.lit(0).cast("long")))
+        last = F.when(F.length(t) > 5, digits(t, -3, 3) + 1024).otherwise(none)
+        return F.when(_fits(t, r"[0-9]{5}(?:-?[0-9]{3})?"), _bits((digits(t, 1, 5), 11)).bitwiseOR(last))
     if name == "FR":
-        return _num(_group(t, r"([0-9]{5})(?: +CEDEX(?: +[0-9]{0,2})? *)?", 1))
+        return F.when(_fits(t, r"[0-9]{5}(?: +CEDEX(?: +[0-9]{0,2})? *)?"), digits(t, 1, 5))
     if name == "CZ":
-        return _num(F.concat(_group(t, "([0-9]{3}) ?([0-9]{2})", 1), _group(t, "([0-9]{3}) ?([0-9]{2})", 2)))
+        return F.when(_fits(t, r"[0-9]{3} ?[0-9]{2}"), digits(t, 1, 3) * 100 + digits(t, -2, 2))
     if name == "LU":
-        return _num(_group(t, "(?:L-?)?([0-9]{4})", 1))
+        return F.when(_fits(t, r"(?:L-?)?[0-9]{4}"), digits(t, -4, 4))
+    p = F.replace(t, F.lit(" "), F.lit(""))
     if name == "CA":
-        rx = rf"([{CA_FIRST}][0-9][{CA_LETTERS}])([0-9][{CA_LETTERS}][0-9])?"
-        p = F.replace(t, F.lit(" "), F.lit(""))
-        a, b = _group(p, rx, 1), _group(p, rx, 2)
-        dig = lambda s, k: F.ascii(F.substring(s, k, 1)) - 48
-        alpha = lambda s, k: _letter(F.substring(s, k, 1))
-        low = _bits((F.lit(1), 13), (dig(b, 1), 9), (alpha(b, 2), 4), (dig(b, 3), 0))
-        high = _bits((alpha(a, 1), 23), (dig(a, 2), 19), (alpha(a, 3), 14))
-        return F.when(a != "", high.bitwiseOR(F.when(b != "", low).otherwise(F.lit(0).cast("long"))))
-    rx = rf" *([{IE_FIRST}][0-9][0-9]|D6W) *([{IE_SYMBOLS}]{{4}})? *"
-    a, b = _group(t, rx, 1), _group(t, rx, 2)
-    low = _bits((F.lit(1), 20), *[(_symbol(b, k + 1), 15 - 5 * k) for k in range(4)])
-    high = _bits(*[(_symbol(a, k + 1), 31 - 5 * k) for k in range(3)])
-    return F.when(a != "", high.bitwiseOR(F.when(b != "", low).otherwise(F.lit(0).cast("long"))))
+        low = _bits((F.lit(1), 13), (digits(p, 4, 1), 9), (alpha(p, 5), 4), (digits(p, 6, 1), 0))
+        high = _bits((alpha(p, 1), 23), (digits(p, 2, 1), 19), (alpha(p, 3), 14))
+        ok = _fits(p, rf"[{CA_FIRST}][0-9][{CA_LETTERS}](?:[0-9][{CA_LETTERS}][0-9])?")
+        return F.when(ok, high.bitwiseOR(F.when(F.length(p) > 3, low).otherwise(none)))
+    low = _bits((F.lit(1), 20), *[(_symbol(p, k + 4), 15 - 5 * k) for k in range(4)])
+    high = _bits(*[(_symbol(p, k + 1), 31 - 5 * k) for k in range(3)])
+    ok = _fits(t, rf" *(?:[{IE_FIRST}][0-9][0-9]|D6W) *(?:[{IE_SYMBOLS}]{{4}})? *")
+    return F.when(ok, high.bitwiseOR(F.when(F.length(p) > 3, low).otherwise(none)))
 
 
 def _spellings(t: Column, cc: Column) -> list[Column]:
@@ -305,12 +298,13 @@ def _of_one_country(code: Column, cc: str, reg: Registry, bounds: bool) -> Colum
             return parsed
         return F.coalesce(let(_split(code, cc), lambda x: F.when((x["t"] == "~") & (x["c"] == cc), _end(c, True))), parsed)
     read = ln.rank if ln else _reader(fmt.name)
+    plain = uk_plain(fold(code), letters=True) if fmt.name == "GB" else read(fold(code))
 
     def slow(x: Column) -> Column:
         found = assemble(c, fmt.tag, _first(read, x["t"], c))
         return F.when(x["c"] == cc, F.when(x["t"] == "~", _end(c, bounds)).otherwise(found))
 
-    return F.coalesce(assemble(c, fmt.tag, read(fold(code))), let(_split(code, cc), slow))
+    return F.coalesce(assemble(c, fmt.tag, plain), let(_split(code, cc), slow))
 
 
 def postal_code(code: ColumnOrName, cc: Column | str | None = None, registry: Registry | None = None) -> Column:

@@ -7,12 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..fixed import UK_AREAS, UK_UNIT_LETTERS
+from ..fixed import UK_AREAS, UK_DISTRICT_LETTERS, UK_UNIT_LETTERS
 from . import codes
 from .codes import UK_SHIFTS
 
 _LOWER, _UPPER = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _WIDE = "".join(f"|{a:<2}." for a in UK_AREAS)
+_DISTRICT = "(?!0[0-9] *[0-9][A-Z])[0-9]"
 _FULL = r"([A-Z]{1,2})([0-9])(?:([A-Z0-9]?) *([0-9])|([0-9]) +)([A-Z]{2})"
 _PARTIAL = _FULL + r"|([A-Z]{1,2})|([A-Z]{1,2})([0-9])([A-Z0-9]?) *|([A-Z]{1,2})([0-9])([A-Z0-9]?) *([0-9])"
 
@@ -60,9 +61,27 @@ def uk_native(t: Column, partial: bool) -> Column:
     return let(found, value)
 
 
+def uk_plain(t: Column, letters: bool = False) -> Column:
+    """The value of a folded text that is a whole postcode written as usual, an outcode, spaces and three
+    characters; null for all else, also for other spellings. With ``letters`` only where letters can stand.
+
+    In bare column expressions, so that all of it is generated code."""
+    if letters:
+        one, two = (f"[0-9{UK_DISTRICT_LETTERS[k]}]?" for k in (1, 2))
+        ok = t.rlike(rf"^(?:[A-Z]{_DISTRICT}{one}|[A-Z]{{2}}{_DISTRICT}{two}) *[0-9][{UK_UNIT_LETTERS}]{{2}}\z")
+    else:
+        ok = t.rlike(rf"^[A-Z]{{1,2}}{_DISTRICT}[A-Z0-9]? *[0-9][A-Z]{{2}}\z")
+    wide = F.substring(t, 2, 1) >= "A"
+    area = _area(F.when(wide, F.substring(t, 1, 2)).otherwise(F.substring(t, 1, 1)))
+    out = F.rtrim(F.substring(t, F.lit(1), F.length(t) - 3))
+    d1, d2 = (F.substring(out, F.when(wide, 3 + k).otherwise(2 + k), F.lit(1)) for k in (0, 1))
+    last = [F.ascii(F.substring(t, k, 1)) - 64 for k in (-2, -1)]
+    return F.when(ok & (F.length(t) <= 32) & (area > 0), _packed(area, _digit(d1), _digit(d2), _digit(F.substring(t, -3, 1)), *last))
+
+
 def uk_parse(text: Column, partial: bool = False) -> Column:
     """A UK postcode, or with ``partial`` a part of one; null if it is none."""
-    return uk_native(fold(text), partial)
+    return F.coalesce(uk_plain(fold(text)), uk_native(fold(text), partial))
 
 
 def uk_cast(text: Column) -> Column:
