@@ -90,7 +90,9 @@ def test_prefix_join_ways_agree(spark):
     df = spark.range(3000).select(C.to_postal_code(F.lpad((F.col("id") * 37 % 100000).cast("string"), 5, "0"), "US").alias("key"))
     frags = spark.createDataFrame([("US-0",), ("US-01",), ("US-012",), ("US-01234",), ("US-9",), ("GB-LS",), ("bad",)], "fragment string")
     few = joins.prefix_join(df, frags, "key")
-    many = joins.prefix_join(df, frags, "key", broadcast_fragments=0)
+    many = joins.prefix_join(df, frags, "key", compared_fragments=0, broadcast_fragments=0)
+    cells = joins.prefix_join(df, frags, "key", compared_fragments=0)
+    assert sorted(map(str, many.collect())) == sorted(map(str, cells.collect()))
     assert sorted(map(tuple, few.select("key", "fragment").collect())) == sorted(map(tuple, many.select("key", "fragment").collect()))
     assert "BroadcastNestedLoopJoin" not in few._jdf.queryExecution().toString()
     left = joins.prefix_join(df, frags, "key", how="left").groupBy("fragment").agg(F.count("key").alias("n"))

@@ -191,15 +191,12 @@ def _pattern_udf(registry: Registry, what: str):
             out.append(seen[k])
         return pa.array(out, pa.int64())
 
-    def span(fragment: pa.Array, hi: pa.Array) -> pa.Array:
-        seen: dict = {}
-        side = hi.to_pylist()
-        out = []
-        for f, h in zip(fragment.to_pylist(), side):
-            if f not in seen:
-                seen[f] = None if f is None else registry.prefix(f)
-            out.append(seen[f] and seen[f][1 if h else 0])
-        return pa.array(out, pa.int64())
+    both = pa.struct([("lo", pa.int64()), ("hi", pa.int64())])
+
+    def span(fragment: pa.Array) -> pa.Array:
+        d = fragment.dictionary_encode()
+        found = [f and registry.prefix(f) for f in d.dictionary.to_pylist()]
+        return pa.array([r and {"lo": r[0], "hi": r[1]} or None for r in found], both).take(d.indices)
 
     def of_key(fn, kind):
         def run(key: pa.Array) -> pa.Array:
@@ -213,7 +210,7 @@ def _pattern_udf(registry: Registry, what: str):
         case "parse":
             return F.arrow_udf(_typed2(parse), "long")
         case "span":
-            return F.arrow_udf(_typed2(span), "long")
+            return F.arrow_udf(_typed1(span), "struct<lo:bigint,hi:bigint>")
         case "text":
             return F.arrow_udf(_typed1(of_key(lambda k: registry.text(k), pa.string())), "string")
         case "outcode":
@@ -341,6 +338,12 @@ def _why(code: Column, cc: Column | str | None, reg: Registry) -> Column:
     return let(tidy(code), say)
 
 
+def why_not(code: ColumnOrName, cc: Column | str | None = None, registry: Registry | None = None) -> Column:
+    """What postal_code would say of a text that is no code; null for codes and nulls."""
+    text, reg = _col(code), registry or world_registry()
+    return F.when(text.isNotNull() & to_postal_code(text, cc, reg).isNull(), _why(text, cc, reg))
+
+
 def is_valid_postal_code(code: ColumnOrName, cc: Column | str | None = None, registry: Registry | None = None) -> Column:
     return F.when(_col(code).isNotNull(), to_postal_code(code, cc, registry).isNotNull())
 
@@ -457,9 +460,7 @@ def to_postal_prefix(fragment: Column | str, registry: Registry | None = None) -
     if isinstance(fragment, str):
         got = reg.prefix(fragment)
         return range_literal(*got) if got else F.lit(None).cast("struct<lo:bigint,hi:bigint>")
-    span = _pattern_udf(reg, "span")
-    lo, hi = span(fragment, F.lit(False)), span(fragment, F.lit(True))
-    return F.when(lo.isNotNull(), F.struct(lo.alias("lo"), hi.alias("hi")))
+    return _pattern_udf(reg, "span")(fragment)
 
 
 def match(key: ColumnOrName, fragment: Column | str | None, registry: Registry | None = None) -> Column:

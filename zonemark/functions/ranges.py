@@ -10,7 +10,7 @@ from .columns import country_bits
 
 
 def make(lo: Column, hi: Column) -> Column:
-    return F.struct(lo.alias("lo"), hi.alias("hi"))
+    return F.named_struct(F.lit("lo"), lo, F.lit("hi"), hi)
 
 
 def lower(r: Column) -> Column:

@@ -205,7 +205,7 @@ def uk_part(v: Column, name: str) -> Column:
 
 def uk_parts(v: Column, jsonb_order: bool = False) -> Column:
     order = sorted(PARTS, key=lambda n: (len(n), n)) if jsonb_order else PARTS
-    return F.when(uk_bits_ok(v), F.to_json(F.struct(*[uk_part(v, n).alias(n) for n in order]), {"ignoreNullFields": "false"}))
+    return F.when(uk_bits_ok(v), F.to_json(F.named_struct(*[x for n in order for x in (F.lit(n), uk_part(v, n))]), {"ignoreNullFields": "false"}))
 
 
 def uk_prefix_of(v: Column, name: str) -> Column:

@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from ..plans.registry import Registry
 
-#: Fragments that are sent to all tasks; more are met by cells.
+#: Fragments that are compared with all codes of their country; more are met by cells.
+COMPARED_FRAGMENTS = 256
+#: Fragments whose cells are sent to all tasks, 17 a fragment at most; more are met by a shuffle.
 BROADCAST_FRAGMENTS = 200_000
 
 
@@ -31,31 +33,33 @@ def prefix_join(
     fragment: str = "fragment",
     how: str = "inner",
     registry: Registry | None = None,
+    compared_fragments: int = COMPARED_FRAGMENTS,
     broadcast_fragments: int = BROADCAST_FRAGMENTS,
 ) -> DataFrame:
     """Rows of ``df`` with each row of ``fragments`` whose fragment their code begins with (how: inner), or
-    all rows of ``fragments`` with the codes that begin so (how: left, fragments first).
+    all rows of ``fragments`` with the codes that begin so (how: left).
 
-    Few fragments are hashed by country and sent to all tasks. Many are cut into cells by the size of
-    their range and met by an equi-join on cells, one for each size that occurs, so no country is too
-    large for a task.
+    A few fragments are sent to all tasks and hashed by country. More are cut into cells by the size of
+    their range and met by an equi-join on cells, one for each size that occurs, so a row is compared with
+    a few fragments only, and no country is too large for a task; the cells are sent to all tasks while
+    they are few enough, so that the codes need not move.
     """
-    resolved = fragments.join(resolve_fragments(fragments, fragment, registry), fragment, "left" if how == "left" else "inner")
-    if resolved.count() <= broadcast_fragments:
-        k = F.col(f"_k.{key}") if how == "left" else F.col(key)
+    resolved = fragments.join(resolve_fragments(fragments, fragment, registry), fragment)
+    n = resolved.count()
+    if n <= compared_fragments:
+        k = F.col(key)
         cond = (C.country_bits(k) == C.country_bits("lo")) & (k >= F.col("lo")) & (k < F.col("hi"))
-        if how == "left":
-            return resolved.join(df.alias("_k"), cond, "left").drop("lo", "hi")
-        return df.join(F.broadcast(resolved), cond).drop("lo", "hi")
-    cells = resolved.filter("lo is not null").withColumn("_level", _level(F.col("hi") - F.col("lo")))
-    levels = sorted(r[0] for r in cells.select("_level").distinct().collect())  # at most 16
-    cells = cells.withColumn("_cell", F.explode(F.sequence(_down("lo", "_level"), _down(F.col("hi") - 1, "_level"))))
-    keyed = df.withColumn("_level", F.explode(F.array(*map(F.lit, levels)))).withColumn("_cell", _down(key, "_level"))
-    inner = keyed.join(cells, ["_level", "_cell"]).filter((F.col(key) >= F.col("lo")) & (F.col(key) < F.col("hi")))
-    inner = inner.drop("_level", "_cell", "lo", "hi")
+        inner = df.join(F.broadcast(resolved), cond).drop("lo", "hi")
+    else:
+        cells = resolved.withColumn("_level", _level(F.col("hi") - F.col("lo")))
+        levels = sorted(r[0] for r in cells.select("_level").distinct().collect())  # at most 16
+        cells = cells.withColumn("_cell", F.explode(F.sequence(_down("lo", "_level"), _down(F.col("hi") - 1, "_level"))))
+        keyed = df.withColumn("_level", F.explode(F.array(*map(F.lit, levels)))).withColumn("_cell", _down(key, "_level"))
+        inner = keyed.join(F.broadcast(cells) if n <= broadcast_fragments else cells, ["_level", "_cell"])
+        inner = inner.filter((F.col(key) >= F.col("lo")) & (F.col(key) < F.col("hi"))).drop("_level", "_cell", "lo", "hi")
     if how != "left":
         return inner
-    rest = resolved.drop("lo", "hi").join(inner.select(fragment).distinct(), fragment, "left_anti")
+    rest = fragments.join(inner.select(fragment).distinct(), fragment, "left_anti")
     return inner.unionByName(rest, allowMissingColumns=True)
 
 
@@ -77,3 +81,9 @@ def group_by_level(df: DataFrame, key: str, level: str, registry: Registry | Non
     reg_text = C.to_text(key, registry, countries)
     end = C.part_end(key, level, registry, countries)
     return df.groupBy(F.substring(reg_text, F.lit(1), end + 3).alias("prefix")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def group_by_range(df: DataFrame, key: str, level: str, registry: Registry | None = None, countries: list[str] | None = None) -> DataFrame:
+    """Counts by the range of the codes that share a named part: lo, hi, n."""
+    r = C.prefix_of(key, level, registry, countries)
+    return df.select(r.alias("_r")).groupBy(F.col("_r.lo").alias("lo"), F.col("_r.hi").alias("hi")).agg(F.count(F.lit(1)).alias("n"))

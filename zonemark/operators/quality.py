@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions import columns as C
 from ..plans.registry import Registry, world_registry
+from .order import numbered
 
 
 def attribute_country(tagged: Column, file_countries: Column) -> Column:
@@ -60,11 +61,11 @@ def consistency(parsed: DataFrame, cc: str, key: str = "key", registry: Registry
 
 
 def order_failures(parsed: DataFrame, key: str = "key", registry: Registry | None = None) -> DataFrame:
-    """Distinct codes whose place by key and by text, within their country, differ."""
+    """Distinct codes whose place by key and by text, within their country, differ. Both places are taken
+    over all countries, one after the other, from ranges of the keys and of the texts."""
     rows = parsed.filter(F.col(key).isNotNull()).select(key).distinct().withColumn("_t", C.to_text(key, registry)).withColumn("_c", C.country(key))
-    a = F.row_number().over(Window.partitionBy("_c").orderBy(key))
-    b = F.row_number().over(Window.partitionBy("_c").orderBy("_t"))
-    return rows.withColumn("_a", a).withColumn("_b", b).agg(F.count_if(F.col("_a") != F.col("_b")).alias("order_failures"))
+    rows = numbered(numbered(rows, ["_c", key], "_a"), ["_c", "_t"], "_b")
+    return rows.agg(F.count_if(F.col("_a") != F.col("_b")).alias("order_failures"))
 
 
 def prefix_failures(parsed: DataFrame, lengths: list[int], key: str = "key", registry: Registry | None = None) -> DataFrame:

@@ -181,6 +181,13 @@ class Registry:
             raise CodeError(f'postal codes of {cc} have no part called "{name}"')
         return got[name]
 
+    def part_end(self, key: int, name: str) -> int | None:
+        """How many characters of the code go up to the end of a part; None where it is absent."""
+        if self.part(key, name) is None:
+            return None
+        m = re.fullmatch(capture_regex(self.parts_pattern(codes.country_of(key), codes.tag_of(key))), self.text(key)[3:])
+        return m.end(part_names(self.parts_pattern(codes.country_of(key), codes.tag_of(key))).index(name) + 1)
+
     # ---- changes ----------------------------------------------------------------------------------------
 
     def _next(self, **changes) -> "Registry":

@@ -7,12 +7,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .fixed import UK_AREAS, UK_UNIT_LETTERS
 from .functions import columns as C
 from .functions import ranges, uk
 from .operators import joins, quality
+from .operators.order import numbered
 from .plans.language import resolve
 from .plans.registry import world_registry
 from .sources import tables
@@ -260,9 +260,8 @@ def uk_cmp_partial(spark, d):
 
 @query(f"SELECT t, row_number() OVER (ORDER BY t) AS place FROM (SELECT DISTINCT {UK} AS t FROM {src(*PART)})")
 def uk_sort_order(spark, d):
-    rows = uk_rows(spark, d, PART).select("v").distinct()
-    # a place among all rows is asked for here
-    return rows.select(uk.uk_to_text(F.col("v")).alias("t"), F.row_number().over(Window.orderBy("v")).cast("long").alias("place"))
+    rows = numbered(uk_rows(spark, d, PART).select("v").distinct(), ["v"], "place")
+    return rows.select(uk.uk_to_text(F.col("v")).alias("t"), "place")
 
 
 _DPS = "(cast(k%10 as string) || chr(cast(65+(k//10)%26 as int)))"
@@ -279,7 +278,7 @@ def dps_validate(spark, d):
 )
 def dps_order(spark, d):
     v = table(spark, d, PART).select(uk.dps_parse(F.lower(F.expr(_DPS.replace("//", " div ")))).alias("v")).filter("v is not null").distinct()
-    return v.select(uk.dps_to_text(F.col("v")).alias("t"), F.row_number().over(Window.orderBy("v")).cast("long").alias("place"))
+    return numbered(v, ["v"], "place").select(uk.dps_to_text(F.col("v")).alias("t"), "place")
 
 
 @query(f"SELECT k, 'US-' || {US} AS code FROM {src(*SUPPLIER)}")
@@ -379,7 +378,7 @@ def prefix_join_lenient(spark, d):
     frags = table(spark, d, SUPPLIER).select(F.expr(f"'US-' || substr({ZIP5}, 1, 3)").alias("fragment")).distinct()
     frags = frags.unionByName(spark.createDataFrame([("US-12A",), ("nothing",), ("",)], "fragment string"))
     rows = coded(spark, d, ORDERS, US, "US").select("k", "key")
-    return joins.prefix_join(rows, frags, "key", broadcast_fragments=0).select("k", "fragment")
+    return joins.prefix_join(rows, frags, "key", compared_fragments=0).select("k", "fragment")
 
 
 @query(
@@ -545,3 +544,6 @@ def pattern_sizes(spark, d):
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     return us_outcode_count(spark, d)
+
+
+from . import queries_more  # noqa: E402,F401  registers its queries here
