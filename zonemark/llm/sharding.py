@@ -20,7 +20,7 @@ from itertools import accumulate
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .storage import stored
+from .storage import few, stored
 
 _IN_PART = (1 << 33) - 1
 
@@ -61,8 +61,9 @@ def shard_rows(
     )
     tie = ["_h", "doc_id", "text_crc32", "size"]
     ranked = numbered(rows, ["_s", *tie], "_g")
-    strata = ranked.groupBy("_s").agg(F.min("_g").alias("_lo"), F.count(F.lit(1)).alias("_n"))
-    spread = ranked.join(strata, "_s").withColumn("_f", (F.col("_g") - F.col("_lo") + F.lit(0.5)) / F.col("_n"))
+    # a row a source: sent to the tasks while they are few, so that no source's rows meet in one
+    strata = stored(ranked.groupBy("_s").agg(F.min("_g").alias("_lo"), F.count(F.lit(1)).alias("_n")), "strata")
+    spread = ranked.join(few(strata), "_s").withColumn("_f", (F.col("_g") - F.col("_lo") + F.lit(0.5)) / F.col("_n"))
     placed = numbered(spread.drop("_g", "_lo", "_n"), ["_f", "_s", *tie], "_g")
     total = placed.count()
     shard = F.expr(f"_g * {shards} div {max(1, total)}")
