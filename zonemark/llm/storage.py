@@ -31,9 +31,13 @@ def _delete(spark: SparkSession, path: str) -> None:
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of plans that nothing refers to any more."""
+    """Let Spark delete the shuffle files of plans that nothing refers to any more.
+
+    Its listeners hold on to the query that ended last, so one without a shuffle has to end first."""
     import gc
 
+    spark.range(1).write.format("noop").mode("overwrite").save()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(10_000)
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 
