@@ -115,6 +115,69 @@ def test_toxicity_learns_and_keeps_held_out_labels_out(spark):
     assert toxicity.score_documents(empty(spark), labels).count() == 0
 
 
+def kneser_ney(texts, labels):
+    """Probability of the last symbol of an n-gram, by class, worked out from dictionaries."""
+    order = toxicity.ORDER
+    syms = [[32] * (order - 1) + [int(x) for x in toxicity._SYMBOL[np.frombuffer((t or "").encode(), np.uint8)]] for t in texts]
+    count = [collections.Counter(), collections.Counter()]
+    for s, y in zip(syms, labels):
+        for k in range(order - 1, len(s)):
+            count[1 - y][tuple(s[k - order + 1 : k + 1])] += 1  # toxic first
+    levels = {order: count}
+    for k in range(order - 1, 1, -1):
+        levels[k] = [collections.Counter(g[1:] for g in levels[k + 1][c]) for c in (0, 1)]
+    share = lambda n: (lambda a, b: a / (a + 2 * b) if a and b else 0.5)(list(n).count(1), list(n).count(2))
+    pairs = levels[2][0] + levels[2][1]
+    low = collections.Counter(b for _, b in pairs)
+    dd, all_low = share(pairs.values()), sum(low[b] + 0.5 for b in range(256))
+
+    def p(g, c):
+        ctx = [n for (a, _), n in pairs.items() if a == g[-2]]
+        total = max(1, sum(ctx))
+        out = max(pairs[tuple(g[-2:])] - dd, 0) / total + (dd * len(ctx) / total if ctx else 1) * (low[g[-1]] + 0.5) / all_low
+        for k in range(3, order + 1):
+            n, d, own = levels[k][c], share(levels[k][c].values()), tuple(g[-k:])
+            seen = [v for x, v in n.items() if x[:-1] == own[:-1]]
+            if seen:
+                out = max(n[own] - d, 0) / sum(seen) + d * len(seen) / sum(seen) * out
+        return out
+
+    return syms, p
+
+
+def test_toxicity_models_by_hand(spark):
+    texts = ["you vile scum", "a vile thing, scum!", "vile é vile", "a calm day", "the calm sea and a day", "sea of days", "", None]
+    labels = [1, 1, 1, 0, 0, 0, 0, 1]
+    syms, p = kneser_ney(texts, labels)
+    rows = spark.createDataFrame(list(zip(texts, labels)), "text string, toxic int")
+    model = toxicity.fit(rows)
+    held = spark.sparkContext.broadcast(model)
+    more = texts + ["a vile sea", "zzz vile é day of calm scum and thing"]
+    odd = kneser_ney(more, [0] * len(more))[0]
+    got = toxicity.compared(spark.createDataFrame(list(enumerate(more)), "n int, text string"), "text", held).collect()
+    for r in got:
+        s = odd[r.n]
+        each = [np.log(p(s[: k + 1], 0)) - np.log(p(s[: k + 1], 1)) for k in range(toxicity.ORDER - 1, len(s))]
+        assert r.n_symbols == len(each) and abs(r.llr - (np.mean(each) if each else 0)) < 1e-4
+        w = toxicity.WINDOW
+        runs = [np.mean(each[k : k + w]) for k in range(max(1, len(each) - w + 1))] if each else [0]
+        assert abs(r.peak - max(runs)) < 1e-4
+    for c in (0, 1):
+        for ctx in (syms[0][5:8], syms[4][6:9], [1, 2, 3]):
+            assert abs(sum(p([*ctx, b], c) for b in range(256)) - 1) < 1e-9
+
+
+def test_toxicity_defined_cases(spark):
+    df = frame(spark, [(None, "a vile text"), (3, "x " * 200_000), (3, "vile"), (4, None), (5, "")])
+    for labels, want in (([], 0.0), ([(3, 1), (4, 1)], 1.0), ([(3, 0)], 0.0)):
+        given = spark.createDataFrame(labels, "doc_id long, toxic int")
+        assert [r.score for r in toxicity.score_documents(df, given).collect()] == [want] * 5
+    both = spark.createDataFrame([(k, k % 2) for k in range(1, 60)] + [(3, 0)], "doc_id long, toxic int")
+    many = df.unionByName(frame(spark, [f"{'vile' if k % 2 else 'calm'} words {k}" for k in range(60)], 0))
+    got = toxicity.score_documents(many, both).collect()
+    assert len(got) == 65 and all(0 <= r.score <= 1 for r in got) and all(r.held_out for r in got if r.doc_id is None)
+
+
 def test_toxicity_tables_hold_every_gram(spark):
     """What was not counted takes nobody's mass, however many n-grams there are."""
     n = 600_000
@@ -479,6 +542,25 @@ def test_cascade_is_exact(spark):
 # ---- 8 ----------------------------------------------------------------------------------------------------
 
 
+def test_shards_follow_fractional_ranks(spark):
+    """Placement by hand: a seeded order within each source, then all rows by fractional rank."""
+    rows = [(k, f"t{k}", "en", None if k % 11 == 0 else f"s{k % 3 % 2}", 0, "", "", 0) for k in range(200)]
+    got = {r.doc_id: (r.shard, r.slot) for r in sharding.shard_rows(spark.createDataFrame(rows, SCHEMA).repartition(3), shards=6, seed=5).collect()}
+    by = collections.defaultdict(list)
+    for k, *_, in rows:
+        by[rows[k][3]].append((hashlib.md5(f"5:{k}".encode()).hexdigest(), k))
+    placed = []
+    for source, members in by.items():
+        name = "null" if source is None else f"={source}"
+        placed += [((r + 0.5) / len(members), name, h, k) for r, (h, k) in enumerate(sorted(members))]
+    want, slots = {}, collections.Counter()
+    for g, (*_, k) in enumerate(sorted(placed)):
+        shard = g * 6 // len(rows)
+        want[k] = (shard, slots[shard])
+        slots[shard] += 1
+    assert got == want
+
+
 def test_shards_are_equal_and_match_the_mixture(spark):
     rows = [(k, None if k == 5 else f"t{k}é", "en", None if k % 10 == 9 else "big" if k % 3 else f"s{k % 9}", 0, "", "", 0) for k in range(1000)] + [(5, "t", "en", "big", 0, "", "", 0)]
     df = spark.createDataFrame(rows, SCHEMA).repartition(5)

@@ -1,9 +1,13 @@
 """The pipeline's stages, each on its own input."""
 
+import collections
 import re
+import zlib
 
 import corpus_pipeline as cp
-from zonemark.llm import decontaminate
+import numpy as np
+from tokenizers import Tokenizer
+from zonemark.llm import decontaminate, line_dedup, tokens, toxicity
 from zonemark.llm.storage import stored
 
 
@@ -42,6 +46,64 @@ def test_run(spark, small):
     assert cp.run(spark, small).count() > 0
 
 
+def test_toxicity_stage(spark, small):
+    """What stays is what the operator predicts to be ordinary, as it is."""
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    scored = toxicity.score_documents(docs, spark.read.parquet(f"{small}/labels.parquet")).collect()
+    keep = {r.doc_id for r in scored if r.predicted == 0}
+    out = cp.toxicity(spark, docs, small)
+    assert out.columns == docs.columns and keep and sorted(map(tuple, out.collect())) == sorted(tuple(r) for r in docs.collect() if r.doc_id in keep)
+
+
+def test_line_dedup_stage(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    docs = docs.unionByName(docs.filter("doc_id < 20").withColumn("doc_id", docs.doc_id + 10_000))
+    rows = docs.collect()
+    pages, seen = collections.defaultdict(set), collections.Counter()
+    for r in rows:
+        pages[r.source].add(r.text)
+    for h, texts in pages.items():
+        for t in texts:
+            for x in set((t or "").split("\n")) if t is not None else ():
+                seen[h, x] += 1
+    bad = {hx for hx, n in seen.items() if n >= 2 and n > line_dedup.RATIO * len(pages[hx[0]]) and hx[1].strip(" \t\n\x0b\x0c\r")}
+    want = {r.doc_id: r.text and "\n".join(x for x in r.text.split("\n") if (r.source, x) not in bad) for r in rows}
+    got = {r.doc_id: r for r in cp.line_dedup(spark, docs, small).collect()}
+    assert bad and {k: r.text for k, r in got.items()} == want
+    assert all(r.n_chars == len(r.text) for r in got.values() if r.text is not None)
+
+
+def test_packing_stage(spark, small):
+    """Every id of every text once, in sequences of 4096 at most, without padding but at powers of two."""
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    raw = Tokenizer.from_file(tokens.default_path())
+    ids = {r.doc_id: [*raw.encode(r.text or "", add_special_tokens=False).ids, 2] for r in docs.collect()}
+    pieces, size = collections.defaultdict(list), collections.Counter()
+    for r in cp.packing(spark, docs, small).collect():
+        pieces[r.doc_id].append((r.start, r.length))
+        size[r.sequence_id] += r.length
+        part = np.array(ids[r.doc_id][r.start : r.start + r.length], "<u4")
+        assert r.ids_crc32 == zlib.crc32(part.tobytes()) and r.doc_tokens == len(ids[r.doc_id])
+    assert pieces.keys() == ids.keys()
+    for k, ps in pieces.items():
+        ends = [0, *(a + n for a, n in sorted(ps))]
+        assert [a for a, _ in sorted(ps)] == ends[:-1] and ends[-1] == len(ids[k])
+    assert all(n == 4096 or n & (n - 1) == 0 for n in size.values())
+
+
+def test_stages_on_odd_tables(spark, small):
+    """An empty table, null texts, rows that repeat, and columns of other names and of the stages' own."""
+    cols = COLS + ", hits string, row string, _h int"
+    rows = [(1, None, None, None, None, "a", "b", 1), (1, None, None, None, None, "a", "b", 1), (None, "x y z", "en", "s", 5, "a", "b", 1), (4, "", "en", "s", 0, None, None, None)]
+    for docs in (spark.createDataFrame([], cols), spark.createDataFrame(rows, cols)):
+        now = docs
+        for name, stage in cp.STAGES[:-1]:
+            now = stored(stage(spark, now, small), name)
+            assert now.columns == docs.columns
+        assert now.count() == (0 if docs.count() == 0 else 4)
+        cp.STAGES[-1][1](spark, now, small).collect()
+
+
 COLS = "doc_id long, text string, lang string, source string, n_chars long"
 
 

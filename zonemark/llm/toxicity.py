@@ -3,7 +3,9 @@
 For each class (toxic, ordinary) an interpolated Kneser-Ney model of order ``ORDER``: the highest
 order uses counts, the orders below it continuation counts of the same class, and below order 3 both
 classes share one set of continuation counts, so that what is rare is judged by the same backoff.
-The score compares the two log-likelihoods, divided by the length.
+The score compares the two log-likelihoods, divided by the length: of the whole text, and of the
+``WINDOW`` symbols in a row that are likeliest to be toxic, so that a few words in a long text are not
+lost among the others.
 
 * The n-gram counts come from every labelled text of the training folds: each task sums its own, Spark
   adds them up, and continuation counts are group-bys over the distinct n-grams.
@@ -15,13 +17,15 @@ The score compares the two log-likelihoods, divided by the length.
 
 Folds are crc32(doc_id) mod 5: 0 is held out and never read, 1 to 3 are counted, 4 calibrates.
 
-Defined cases: null and empty texts have no n-grams and get the curve's value at nothing, the prior;
+Defined cases: null and empty texts have no n-grams and get the curve's value at nothing, near the share of label 1;
 rows without doc_id are of fold 0 and unlabelled; a doc_id with labels that differ is left out of
-training; without labels of both classes every score is 0; an empty table gives an empty result.
+training; with labels of one class only every score is that class, without any it is 0; rows that share
+an id are scored each; very long texts are scored whole; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -36,6 +40,8 @@ from .memory import lean
 from .storage import discard, stored
 
 ORDER, SHARED = 4, 2
+#: Symbols of a passage.
+WINDOW = 24
 CALIBRATION_ROWS = 20_000
 FOLDS = 5
 
@@ -257,9 +263,25 @@ def fit(rows: DataFrame) -> Model:
     return Model(own, left, base.ravel().astype(np.float32))
 
 
+def _peaks(total: np.ndarray, lo: np.ndarray, hi: np.ndarray, width: int = WINDOW) -> np.ndarray:
+    """Per text the largest mean of ``width`` log ratios in a row, of running sums; of shorter texts the mean
+    of all."""
+    lens = hi - lo
+    out = (total[hi] - total[lo]) / np.maximum(lens, 1)
+    long = np.flatnonzero(lens > width)
+    if len(long):
+        runs = total[width:] - total[:-width]
+        # from a text's first run to behind its last one, and on to the next text's first
+        cut = np.column_stack([lo[long], hi[long] - width + 1]).ravel()
+        best = np.maximum.reduceat(np.append(runs, -np.inf), cut)[::2]
+        out[long] = best / width
+    return out
+
+
 def compared(rows: DataFrame, text_col: str, held) -> DataFrame:
-    """``rows`` with llr double (the mean of the log ratios) and n_symbols long; held: a broadcast model.
-    The text is a column, which then goes, or a field of the struct ``row``, which stays."""
+    """``rows`` with llr double (the mean of the log ratios), peak double (that of the worst passage) and
+    n_symbols long; held: a broadcast model. The text is a column, which then goes, or a field of the struct
+    ``row``, which stays."""
     inside = text_col not in rows.columns
     at = rows.columns.index("row" if inside else text_col)
     keep = [c for c in rows.columns if c != text_col]
@@ -271,31 +293,35 @@ def compared(rows: DataFrame, text_col: str, held) -> DataFrame:
             return pc.struct_field(b.column(at), text_col).cast(pa.string()) if inside else b.column(at)
 
         for b in batches:
-            llr, n = [np.empty(0)], [np.empty(0, np.int64)]
+            llr, peak, n = [np.empty(0)], [np.empty(0)], [np.empty(0, np.int64)]
             for part in _slices(text_of(b)):
                 sym, bounds = _symbols(part)
                 total = np.concatenate([[0.0], np.cumsum(m.compare(sym), dtype=np.float64)])
                 lens = np.diff(bounds) - (ORDER - 1)
-                llr.append((total[bounds[1:]] - total[bounds[:-1] + ORDER - 1]) / np.maximum(lens, 1))
+                lo = bounds[:-1] + ORDER - 1
+                llr.append((total[bounds[1:]] - total[lo]) / np.maximum(lens, 1))
+                peak.append(_peaks(total, lo, bounds[1:]))
                 n.append(lens)
             cols = [b.column(k) for k in range(b.num_columns) if inside or k != at]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(np.concatenate(llr)), pa.array(np.concatenate(n))], [*keep, "llr", "n_symbols"])
+            yield pa.RecordBatch.from_arrays([*cols, *[pa.array(np.concatenate(x)) for x in (llr, peak, n)]], [*keep, "llr", "peak", "n_symbols"])
 
-    schema = T.StructType([f for f in rows.schema if f.name != text_col]).add("llr", "double").add("n_symbols", "long")
+    schema = T.StructType([f for f in rows.schema if f.name != text_col]).add("llr", "double").add("peak", "double").add("n_symbols", "long")
     return rows.mapInArrow(lean(run), schema)
 
 
-def _features(llr: np.ndarray, n: np.ndarray) -> np.ndarray:
-    return np.column_stack([np.ones(len(llr)), llr * 100, llr * np.sqrt(n) * 10, np.log1p(n) / 10])
+def _features(llr: np.ndarray, peak: np.ndarray, n: np.ndarray) -> np.ndarray:
+    return np.column_stack([np.ones(len(llr)), llr * 100, llr * np.sqrt(n) * 10, peak * 10, np.log1p(n) / 10])
 
 
-def calibrate(llr: np.ndarray, n: np.ndarray, toxic: np.ndarray, rounds: int = 50) -> np.ndarray:
-    """Weights of a logistic curve with a small ridge, by Newton's method."""
-    x = _features(llr, n)
-    w = np.zeros(x.shape[1])
+def calibrate(llr: np.ndarray, peak: np.ndarray, n: np.ndarray, toxic: np.ndarray, prior: float, rounds: int = 50) -> np.ndarray:
+    """Weights of a logistic curve by Newton's method, held to the prior log odds as by a row or so."""
+    x = _features(llr, peak, n)
+    hold = np.array([1.0, 0.01, 0.01, 0.01, 0.01])
+    start = np.array([prior, 0.0, 0.0, 0.0, 0.0])
+    w = start.copy()
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 1e-2 * np.eye(len(w)), x.T @ (p - toxic) + 1e-2 * w)
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(hold), x.T @ (p - toxic) + hold * (w - start))
         w -= step
         if np.abs(step).max() < 1e-9:
             break
@@ -325,20 +351,20 @@ def score_documents(
     side = F.broadcast(one) if one.count() <= max_broadcast_labels else one
     known = texts.filter(fold(F.col("doc_id")) > 0).join(side, "doc_id")
     held_out = (fold(F.col("doc_id")) == 0).alias("held_out")
-    if one.select("toxic").distinct().count() < 2:
+    classes = {r["toxic"]: r["count"] for r in one.groupBy("toxic").count().collect()}  # two at most
+    if len(classes) < 2:
         size = F.coalesce(F.octet_length(F.col("row")[text_col].cast("string") if with_row else F.col("text")), F.lit(0)).cast("long")
-        zero = [F.lit(0.0).alias("score"), F.lit(0).alias("predicted"), F.lit(0.0).alias("llr")]
-        return rows.select("doc_id", held_out, *zero, size.alias("n_symbols"), *row)
+        only = int(*classes or [0])
+        same = [F.lit(float(only)).alias("score"), F.lit(only).alias("predicted"), F.lit(0.0).alias("llr")]
+        return rows.select("doc_id", held_out, *same, size.alias("n_symbols"), *row)
     model = fit(known.filter(fold(F.col("doc_id")) < FOLDS - 1).select("text", "toxic"))
     held = docs.sparkSession.sparkContext.broadcast(model)  # as large as the distinct n-grams
     seen = known.filter(fold(F.col("doc_id")) == FOLDS - 1)
     few = one.filter(fold(F.col("doc_id")) == FOLDS - 1).orderBy(F.xxhash64("doc_id"), "doc_id").limit(CALIBRATION_ROWS).select("doc_id")
     got = compared(seen.join(F.broadcast(few), "doc_id", "left_semi").select("toxic", "text"), "text", held).toArrow()
-    if got.num_rows:
-        w = calibrate(*(got.column(c).to_numpy().astype(float) for c in ("llr", "n_symbols", "toxic")))
-    else:
-        w = np.array([0.0, 1.0, 0.0, 0.0])
-    f = [F.lit(1.0), F.col("llr") * 100, F.col("llr") * F.sqrt("n_symbols") * 10, F.log1p("n_symbols") / 10]
+    prior = math.log((classes[1] + 0.5) / (classes[0] + 0.5))
+    w = calibrate(*(got.column(c).to_numpy().astype(float) for c in ("llr", "peak", "n_symbols", "toxic")), prior)
+    f = [F.lit(1.0), F.col("llr") * 100, F.col("llr") * F.sqrt("n_symbols") * 10, F.col("peak") * 10, F.log1p("n_symbols") / 10]
     z = sum((F.lit(float(a)) * b for a, b in zip(w[1:], f[1:])), F.lit(float(w[0])) * f[0])
     out = compared(rows, text_col if with_row else "text", held)
     out = out.withColumn("score", 1 / (1 + F.exp(-z)))
