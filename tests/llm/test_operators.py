@@ -207,6 +207,16 @@ def test_tokens_are_the_tokenizers(corpus, raw_tokens):
     assert [x.tolist() for x in tok.encode(pa.array(odd))] == [tok.raw.encode(x or "", add_special_tokens=False).ids for x in odd]
 
 
+def test_tokens_of_another_tokenizer(corpus):
+    """Whose texts cannot be taken apart in the same way."""
+    import public_tokenizers
+
+    tok = tokens.ChunkTokenizer(public_tokenizers.path("byte_bpe_50k.json"))
+    assert tok.whole_texts and not tokens.ChunkTokenizer(tokens.default_path()).whole_texts
+    texts = corpus[:20] + ["Case  and   spaces, it's <|endoftext|> 12"]
+    assert [x.tolist() for x in tok.encode(pa.array(texts))] == [tok.raw.encode(x or "", add_special_tokens=False).ids for x in texts]
+
+
 def test_tokens_of_random_texts():
     rng = random.Random(3)
     letters = list("abcdeZÉéßİ'.,!?-_#$%&*()[]{}<>|~`^@+=/\\\"0123 \n\t \u0308\u0958é日本ſªσς½")

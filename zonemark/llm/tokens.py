@@ -11,6 +11,7 @@ bounded and the result does not depend on what is kept.
 
 from __future__ import annotations
 
+import json
 import unicodedata
 
 import numpy as np
@@ -58,8 +59,26 @@ def _stays_letters(run: str) -> bool:
     return unicodedata.normalize("NFC", run).lower().isalpha()
 
 
+#: What a tokenizer file must say for its texts to be taken apart here.
+_NORMALIZERS = ["NFC", "Replace", "Lowercase"]
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def _splits(raw) -> bool:
+    """Whether a tokenizer lower-cases, parts white space, letters, digits and other marks, and ends words."""
+    d = json.loads(raw.to_str())
+    normal, first = d["normalizer"] or {}, ((d["pre_tokenizer"] or {}).get("pretokenizers") or [{}])[0]
+    return (
+        [x["type"] for x in normal.get("normalizers", [])] == _NORMALIZERS
+        and first.get("pattern") == {"Regex": _SPLIT}
+        and d["model"].get("end_of_word_suffix") == "</w>"
+        and all(t["content"].startswith("<|") for t in d["added_tokens"])
+    )
+
+
 class ChunkTokenizer:
-    """For tokenizers that lower-case and whose pre-tokenizer splits off white space and punctuation."""
+    """For tokenizers that lower-case and whose pre-tokenizer splits off white space and punctuation; with any
+    other file whole texts go to the tokenizer as they are."""
 
     def __init__(self, path: str, max_known: int = 300_000) -> None:
         import os
@@ -69,6 +88,7 @@ class ChunkTokenizer:
 
         self.raw = Tokenizer.from_file(path)
         self.max_known = max_known
+        self.whole_texts = not _splits(self.raw)
         vocab = self.raw.get_vocab()
         self.ends_word = np.zeros(max(vocab.values()) + 1, bool)
         self.ends_word[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
@@ -159,6 +179,11 @@ class ChunkTokenizer:
         """One uint32 array of ids a text; a null text counts as empty."""
         texts = whole(texts)
         out: list[np.ndarray] = []
+        if self.whole_texts:
+            for lo in range(0, len(texts), 1000):
+                found = self.raw.encode_batch_fast(texts.slice(lo, 1000).to_pylist(), add_special_tokens=False)
+                out += [np.array(e.ids, np.uint32) for e in found]
+            return out
         size, lo = pc.binary_length(texts).to_numpy(zero_copy_only=False), 0
         while lo < len(texts):
             hi = lo + max(1, int(np.searchsorted(np.cumsum(size[lo:]), 9_000_000, "right")))
