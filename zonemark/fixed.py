@@ -285,3 +285,14 @@ HYPHENS = [*range(0x2010, 0x2016), 0x2043, 0x2212, 0xFE58, 0xFE63, 0xFF0D]
 SPACES = [0x00A0, 0x1680, *range(0x2000, 0x200B), 0x202F, 0x205F, 0x3000]
 MALTESE = {"\u010a": "C", "\u0120": "G", "\u0126": "H", "\u017b": "Z", "\u010b": "c", "\u0121": "g", "\u0127": "h", "\u017c": "z"}
 DROPPED = [*range(0x200B, 0x2010), 0x2060, 0x3012, 0xFEFF]
+
+# Where countries' formats come from, as the world view says it. Countries that are in none of the
+# lists have "GeoNames data" if they have a format, and "no postal codes" if not.
+BASIS = {
+    "built in": "BR CA CZ FR GB GG IE IM JE LU US".split(),
+    "see note": "AE AR BM EG GI HK IL MM MO MT NL PA VN WS".split(),
+    "Wikipedia": """
+        AF AM AQ BA BB BH BL BN BT CU CV ET GE GH GN GR GW IQ IR JM JO KG KH KN KW KY KZ LA LB LC LR LS ME MF MG MN
+        MS MU MV MZ NA NE NG NI NP OM PG PS PY SA SD SH SN SO SV SZ TJ TM TN TT TW TZ UM UZ VC VE VG XK ZM
+    """.split(),
+}

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..fixed import COMPILED_COUNTRIES, END_TAG, FIRST_PATTERN_TAG, FORMAT_PARTS, FORMATS, MAX_VERSION, NAMED_PATTERNS, PATTERNS
+from ..fixed import BASIS, COMPILED_COUNTRIES, END_TAG, FIRST_PATTERN_TAG, FORMAT_PARTS, FORMATS, MAX_VERSION, NAMED_PATTERNS, PATTERNS
 from ..functions import codes
 from .language import capture_regex, language, part_names, parts_check, resolve, same_codes
 
@@ -272,7 +272,8 @@ class Registry:
         locale = spark.sparkContext._jvm.java.util.Locale
         iso = sorted({*locale.getISOCountries(), "XK"})
         names = [(c, locale("en", c).getDisplayCountry(locale.ENGLISH)) for c in iso]
-        base = spark.createDataFrame(names, "iso2 string, name string")
+        told = {cc: basis for basis, countries in BASIS.items() for cc in countries}
+        base = spark.createDataFrame([(c, n, told.get(c)) for c, n in names], "iso2 string, name string, basis string")
         latest = self.languages_frame(spark).withColumn("_r", F.row_number().over(Window.partitionBy("iso2").orderBy(F.desc("version")))).filter("_r = 1")
         out = base.join(self.country_formats(spark), "iso2", "left").join(latest.select("iso2", "source"), "iso2", "left")
         pattern = F.col("format_name") == "pattern"
@@ -281,7 +282,7 @@ class Registry:
             "name",
             F.when(pattern, F.col("source")).otherwise(F.col("format_name")).alias("format"),
             F.coalesce("builtin", F.lit(False)).alias("builtin"),
-            F.when(F.col("format_name").isNull(), "no postal codes").when(pattern, "pattern").otherwise("compiled").alias("basis"),
+F.coalesce("basis", F.when(F.col("format_name").isNull(), "no postal codes").otherwise("GeoNames data")).alias("basis"),
         )
 
     # ---- user rows, saved and restored ------------------------------------------------------------------

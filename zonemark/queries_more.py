@@ -9,7 +9,7 @@ from .functions import columns as C
 from .functions import ranges, uk
 from .operators import joins, quality
 from .plans.language import language, same_codes, strip_names
-from .plans.registry import world_registry
+from .plans.registry import CodeError, world_registry
 from .queries import AREA, CUSTOMER, FIVE, MIXED, MIXED_CC, NL, ORDERS, OUT, PART, SECTOR, SUPPLIER, UK, US, WALK, ZIP5, coded, query, src, table, uk_rows
 from .sources import sql, tables
 
@@ -413,6 +413,11 @@ def registry_changes(spark, d):
     )
 
 
+@query("SELECT * FROM (VALUES ('GeoNames data', 100), ('Wikipedia', 69), ('no postal codes', 56), ('see note', 14), ('built in', 11)) t(basis, n)")
+def world_basis(spark, d):
+    return world_registry().world(spark).groupBy("basis").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query(
     r"""SELECT * FROM (VALUES ('\d{2}', '[0-9][0-9]', true, null, '\d{2}'), ('\d{2}', '\d{3}', false, null, '\d{2}'), ('(?<a>\d)(?<b>\d)', '\d\d', true, null, '(?:\d)(?:\d)'),
         ('(?<a>A{1,2})(?<b>A{1,2})\d', 'A{2,4}\d', true, 'AAA0', '(?:A{1,2})(?:A{1,2})\d'), ('[1-9]\d', '\d\d', false, null, '[1-9]\d')) t(a, b, same, ambiguous, bare)"""
@@ -423,6 +428,35 @@ def pattern_relations(spark, d):
     return spark.createDataFrame(found, "a string, b string, same boolean, ambiguous string, bare string")
 
 
+@query(f"SELECT k, 'XQ-' || substr({FIVE}, 1, 2) || '-' || substr({FIVE}, 3, 3) AS code, cast(null as varchar) AS gone FROM {src(*PART)}")
+def registry_saved(spark, d):
+    """User rows saved, and restored over the built-in part."""
+    path = tables.scratch(spark, "registry")
+    world_registry().add_country_template("XQ", "NN-NNN").remove_country_format("FR").save(spark, path)
+    reg = world_registry().load(spark, path)
+    rows = table(spark, d, PART).withColumn("t", F.expr(FIVE))
+    key, gone = C.to_postal_code("t", "XQ", reg), C.to_postal_code("t", "FR", reg)
+    return rows.select("k", C.to_text(key, reg, countries=["XQ"]).alias("code"), C.to_text(gone, countries=["FR"]).alias("gone"))
+
+
+@query("SELECT * FROM (VALUES ('/(?<a>[0-9]{2})-(?<b>[0-9]{3})/', true), ('NN-NNN', true), ('NN-NN', false), ('NN-NNN[A]', false)) t(spec, kept)")
+def languages_are_permanent(spark, d):
+    """A stored language can be named anew, and denotes the same codes for ever."""
+    reg, found = world_registry().add_country_template("XQ", "NN-NNN"), []
+    for spec in ("/(?<a>[0-9]{2})-(?<b>[0-9]{3})/", "NN-NNN", "NN-NN", "NN-NNN[A]"):
+        try:
+            reg.relabel("XQ", spec)
+            found.append((spec, True))
+        except CodeError:
+            found.append((spec, False))
+    return spark.createDataFrame(found, "spec string, kept boolean")
+
+
+@query(f"SELECT {MIXED_CC} AS cc, count(*) AS n FROM {src(*CUSTOMER)} WHERE {OK} AND {MIXED_CC} <> 'GB' GROUP BY 1")
+def lock_violations(spark, d):
+    return tables.lock_failures(broken(spark, d), "key", "GB").groupBy("cc").agg(F.count(F.lit(1)).alias("n"))
+
+
 # ---- forms of queries -----------------------------------------------------------------------------------
 
 

@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from .. import __version__
 from ..fixed import END_TAG, FIRST_PATTERN_TAG, FORMAT_TAGS
 from ..functions import codes, ranges, uk
 from ..functions import columns as C
@@ -253,6 +254,7 @@ def register(spark: SparkSession, registry: Registry | None = None) -> list[str]
     field = {c: sql_of(spark, uk.uk_to_char(v, c), "v BIGINT") for c in "ADSW"}
     which = " ".join(f"WHEN '{c}' THEN {x}" for c, x in field.items())
     sql("uk_to_char", "v BIGINT, template STRING", "STRING", f"array_join(transform(split(template, ''), c -> CASE c {which} ELSE c END), '')")
+    sql("postcode_version", "", "STRING", f"'{__version__}'")
     sql("text_to_dps", "t STRING", "SMALLINT", uk.dps_parse(t))
     sql("dps_validate", "t STRING", "BOOLEAN", uk.dps_validate(t))
     sql("dps_to_text", "d SMALLINT", "STRING", uk.dps_to_text(F.col("d")))

@@ -35,6 +35,11 @@ def lock_column(df: DataFrame, key: str, cc: str) -> DataFrame:
     return df.withColumns({key: C.enforce(key, cc)}).withMetadata(key, meta)
 
 
+def lock_failures(df: DataFrame, key: str, cc: str) -> DataFrame:
+    """The rows that a lock would refuse."""
+    return df.filter(F.col(key).isNotNull() & (C.country(key) != C._literal_country(cc)))
+
+
 def locked_columns(df: DataFrame) -> dict[str, str]:
     """The locked columns of a frame and their countries."""
     return {f.name: f.metadata[C.LOCK] for f in df.schema if C.LOCK in f.metadata}
