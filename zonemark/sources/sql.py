@@ -101,8 +101,11 @@ def _per_value(fn, kind: pa.DataType):
 
 
 def register(spark: SparkSession, registry: Registry | None = None) -> list[str]:
-    """Make the functions available in a session; returns their names."""
+    """Make the functions available in a session; returns their names. Once is enough for a registry."""
     reg = registry or world_registry()
+    before = getattr(spark, "_zonemark_names", None)
+    if before and before[0] is reg:
+        return before[1]
     names: list[str] = []
 
     def python(name: str, fn, kind: pa.DataType, sql: str, nulls: tuple[bool, ...] = (True,)) -> None:
@@ -277,6 +280,7 @@ def register(spark: SparkSession, registry: Registry | None = None) -> list[str]
         ("postal_code_world", reg.world(spark)),
     ):
         frame.createOrReplaceTempView(view)
+    spark._zonemark_names = (reg, names)
     return names
 
 
