@@ -181,3 +181,28 @@ def test_plain_postcodes_read_as_by_the_whole_grammar(spark):
     assert all(r.a in (None, r.b) and r.c in (None, r.d) for r in rows)
     assert sum(r.a is not None for r in rows) > 500 and sum(r.c is not None for r in rows) > 100
     assert all(r.b == r.a for r in rows if "-" not in r.t and "A A" not in r.t)
+
+
+def test_sql_prefixes_reach_the_scan(spark, tmp_path):
+    """Literal fragments are two bounds on a stored key; SQL names give what the column functions give."""
+    sql.register(spark)
+    texts = [("US", f"{k:05d}") for k in range(0, 100_000, 37)] + [("GB", "LS1 1AA"), ("GB", "L1 1AA"), ("NL", "1012 AB"), ("NL", "1013"), ("PL", "00-950")]
+    rows = quality.with_codes(spark.createDataFrame(texts, "cc string, t string"), "t", "cc")
+    tables.write_clustered(rows, str(tmp_path / "t"), "key", by_country=False)
+    spark.read.parquet(str(tmp_path / "t")).createOrReplaceTempView("stored_codes")
+    for f in ("US-902", "US-9", "GB-L", "GB-LS1 1AA", "NL-1012", "NL-1", "PL-00"):
+        df = spark.sql(f"SELECT key FROM stored_codes WHERE postal_code_partial(key, '{f}')")
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "GreaterThanOrEqual(key," in plan and "LessThan(key," in plan and "Python" not in plan, f
+        want = spark.table("stored_codes").filter(C.match("key", f)).select("key")
+        assert sorted(df.collect()) == sorted(want.collect()) and want.count() > 0
+    frags = ["US-902", "US-9", "US-99999", "US-1234-", "US-12345-1", "GB-L", "GB-LS1", "GB-LS1 1", "NL-0", "NL-1012 A", "NL-1012", "PL-00-9", "PL-99", "CZ-1100", "QQ-1", "US-", "", None, "us-902"]
+    got = spark.createDataFrame([(f,) for f in frags], "f string").selectExpr("f", "to_postal_prefix(f) AS r", "postal_code_partial(0, f) AS p", "_postal_lo(f) AS lo", "_postal_hi(f) AS hi").collect()
+    for r in got:
+        want = R.prefix(r.f) if r.f is not None else None
+        assert (tuple(r.r) if r.r else None) == want, r.f
+        assert r.p is None if r.f is None else r.p is False
+        if want and not (r.f.startswith("GB") and len(r.f) > 3):
+            assert (r.lo, r.hi) == want or r.f.startswith("GB"), r.f
+        if r.f is not None and want is None:
+            assert r.lo > r.hi

@@ -146,9 +146,11 @@ def register(spark: SparkSession, registry: Registry | None = None) -> list[str]
     python("_postal_parse", lambda c, cc: reg.parse(c, cc, bounds=False), *key, (True, False))
     python("_postal_strict", reg.parse_strict, *key, (True, False))
     fold = sql_of(spark, uk.fold(t), "t STRING")
+    folded = f"_postal_native({fold}, {sql_of(spark, uk.fold(F.col('cc')), 'cc STRING')})"
     for name, slow in (("to_postal_code", "_postal_parse"), ("postal_code", "_postal_strict")):
-        quick = f"_postal_native({fold}, {fold.replace('t', 'cc', 1) if fold == 't' else sql_of(spark, uk.fold(F.col('cc')), 'cc STRING')})"
-        sql(name, "t STRING, cc STRING DEFAULT NULL", "BIGINT", f"coalesce({quick}, {slow}(CASE WHEN {quick} IS NULL THEN t END, cc))")
+        # what is passed on as an argument is worked out once
+        sql(f"{slow}_rest", "n BIGINT, t STRING, cc STRING", "BIGINT", f"coalesce(n, {slow}(CASE WHEN n IS NULL THEN t END, cc))")
+        sql(name, "t STRING, cc STRING DEFAULT NULL", "BIGINT", f"{slow}_rest({folded}, t, cc)")
     sql("is_valid_postal_code", "t STRING, cc STRING DEFAULT NULL", "BOOLEAN", "CASE WHEN t IS NOT NULL THEN to_postal_code(t, cc) IS NOT NULL END")
     python("_postal_text", reg.text, *text)
     shown = F.when(C.tag(k) == END_TAG, F.lit("~"))
@@ -187,11 +189,13 @@ def register(spark: SparkSession, registry: Registry | None = None) -> list[str]
     python("_postal_span_strict", lambda f: as_struct(reg.prefix_strict(f)), *bounds)
     rest = "CASE WHEN _postal_run_lower(f) IS NULL THEN f END"
     for side, name in (("lo", "lower"), ("hi", "upper")):
-        sql(f"{name}_bound", "f STRING", "BIGINT", f"coalesce(_postal_run_{name}(f), _postal_span_strict({rest}).{side})")
+        sql(f"_postal_{side}_strict", "r BIGINT, f STRING", "BIGINT", f"coalesce(r, _postal_span_strict(CASE WHEN r IS NULL THEN f END).{side})")
+        sql(f"{name}_bound", "f STRING", "BIGINT", f"_postal_{side}_strict(_postal_run_{name}(f), f)")
         # what is no fragment has bounds that hold nothing
         none = _HIGH if side == "lo" else _LOW
-        least = "CASE WHEN _postal_run_lower(f) IS NULL AND _postal_uk_lower(f) IS NULL THEN f END"
-        sql(f"_postal_{side}", "f STRING", "BIGINT", f"coalesce(_postal_run_{name}(f), _postal_uk_{name}(f), _postal_span({least}).{side}, CASE WHEN f IS NOT NULL THEN {none} END)")
+        least = "CASE WHEN r IS NULL AND u IS NULL THEN f END"
+        sql(f"_postal_{side}_of", "r BIGINT, u BIGINT, f STRING", "BIGINT", f"coalesce(r, u, _postal_span({least}).{side}, CASE WHEN f IS NOT NULL THEN {none} END)")
+        sql(f"_postal_{side}", "f STRING", "BIGINT", f"_postal_{side}_of(_postal_run_{name}(f), _postal_uk_{name}(f), f)")
     for name in ("postal_code_partial", "postal_match"):
         sql(name, "k BIGINT, f STRING", "BOOLEAN", "k >= _postal_lo(f) AND k < _postal_hi(f)")
     for name in ("postal_code_not_partial", "postal_not_match"):
@@ -232,7 +236,8 @@ def register(spark: SparkSession, registry: Registry | None = None) -> list[str]
     python("_uk_fragment", lambda x: (lambda f: codes.uk_pack(f) if f else None)(codes.uk_fields(x, True)), *key)
     quick = sql_of(spark, uk.uk_plain(uk.fold(t)), "t STRING")
     for name, slow in (("text_to_postcode", "_uk_read"), ("postcode_fragment", "_uk_fragment")):
-        sql(name, "t STRING", "BIGINT", f"coalesce({quick}, {slow}(CASE WHEN {quick} IS NULL THEN t END))")
+        sql(f"{slow}_rest", "n BIGINT, t STRING", "BIGINT", f"coalesce(n, {slow}(CASE WHEN n IS NULL THEN t END))")
+        sql(name, "t STRING", "BIGINT", f"{slow}_rest({quick}, t)")
     sql("uk_postcode", "t STRING", "BIGINT", "text_to_postcode(t)")
     sql("postcode_validate", "t STRING", "BOOLEAN", "CASE WHEN t IS NOT NULL THEN text_to_postcode(t) IS NOT NULL END")
     sql("postcode_to_text", "v BIGINT", "STRING", uk.uk_show(v))
