@@ -4,7 +4,12 @@ packed into sequences.
 
 Each stage takes (spark, docs, sf_dir) and works on all that the one before it kept.  All but the last
 return the columns of ``documents``.  SQL cannot express the stages, so there is no ``ORACLE_SQL``; the
-tests hold them against brute force.
+tests hold each of them against brute force.  Stages set how many rows of their session go to workers at
+once, so that a batch of texts stays small beside an executor's heap.
+
+Defined cases: rows that share an id, or have none, are rows of their own throughout, and of equal ones the
+join keeps one; null and empty texts are clean, have no lines and no copies, and are packed as an end alone;
+an empty table gives an empty result; further columns are passed on up to the last stage.
 """
 
 from __future__ import annotations
@@ -16,12 +21,16 @@ from zonemark.llm.decontaminate import clean
 from zonemark.llm.line_dedup import drop_boilerplate
 from zonemark.llm.ngram_join import link_documents
 from zonemark.llm.packing import pack_documents
-from zonemark.llm.storage import stored
+from zonemark.llm.storage import BATCH_ROWS, batches, stored
 from zonemark.llm.toxicity import score_documents
 
+#: Rows that go to the tokenizer at once: it meets fewer distinct words in more of them.
+PACKED_ROWS = 10_000
+
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score is below one half."""
+    batches(spark, BATCH_ROWS)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     scored = score_documents(docs, labels, with_row=True)
     return scored.filter("predicted = 0").select("row.*")
@@ -48,11 +57,13 @@ def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item within its error budget."""
+    batches(spark, BATCH_ROWS)
     return clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of the documents' ids in sequences of at most 4096 tokens."""
+    batches(spark, PACKED_ROWS)
     return pack_documents(docs)
 
 

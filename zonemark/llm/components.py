@@ -45,14 +45,15 @@ def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _local(iter([pa.RecordBatch.from_arrays([pa.concat_arrays([b.column(k) for b in got]) for k in (0, 1)], ["a", "b"])]))
 
 
-def components(edges: DataFrame, max_rounds: int = 60, one_task: int = ONE_TASK) -> DataFrame:
+def components(edges: DataFrame, max_rounds: int = 60, one_task: int = ONE_TASK, reduced: bool = False) -> DataFrame:
     """node, component (its smallest node) for the nodes of the edges (columns a, b).
 
     Up to ``one_task`` edges, 16 bytes each, are one task's work; more go through rounds of stars, in which
-    the aggregates are written before they are joined, so that Spark can split a large star.
+    the aggregates are written before they are joined, so that Spark can split a large star. ``reduced``:
+    the tasks that gave the edges have seen to it that they are few.
     """
     e = edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).filter("a <> b")
-    e = stored(e.mapInArrow(_local, _EDGE).distinct(), "edges")
+    e = stored((e if reduced else e.mapInArrow(_local, _EDGE)).distinct(), "edges")
     if e.count() <= one_task:
         done = stored(e.coalesce(1).mapInArrow(_whole, _EDGE), "edges")
         discard(e)

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .memory import lean
+from .memory import keeps, lean
 
 ERROR_RATE, MIN_CHARS = 0.08, 16
 MAX_BLOCK_CHARS = 2_000_000
@@ -140,7 +140,7 @@ class Matcher:
         return [(i, d) for n, d in best.items() for i in self.ids[n]]
 
 
-_MATCHERS: dict[int, Matcher] = {}
+_MATCHERS = keeps("decontaminate")
 
 _HITS = T.ArrayType(T.StructType([T.StructField("item_id", T.LongType()), T.StructField("distance", T.IntegerType())]))
 _HITS_ARROW = pa.list_(pa.struct([("item_id", pa.int64()), ("distance", pa.int32())]))
@@ -166,7 +166,7 @@ def with_hits(
     for k in range(blocks):
         part = items.filter(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == k) if blocks > 1 else items
         held = spark.sparkContext.broadcast([(r["i"], r["t"]) for r in part.collect()])  # bounded by max_block_chars
-        out = out.mapInArrow(lean(_searcher(held, rate, min_chars)), out.schema)
+        out = out.mapInArrow(lean(_searcher(held, rate, min_chars), "decontaminate"), out.schema)
     return out.select("row", F.coalesce("hits", F.array().cast(_HITS)).alias("hits"))
 
 

@@ -20,11 +20,24 @@ def give_back() -> None:
         pass
 
 
-def lean(run: Run) -> Run:
-    """A function for mapInArrow that gives memory back after each batch that it makes and at its end."""
+#: What operators keep in a worker for the tasks to come, by operator.
+_KEPT: dict[str, dict] = {}
+
+
+def keeps(operator: str) -> dict:
+    """A dictionary that a worker keeps as long as it works for an operator."""
+    return _KEPT.setdefault(operator, {})
+
+
+def lean(run: Run, operator: str = "") -> Run:
+    """A function for mapInArrow that gives memory back after each batch that it makes and at its end, and
+    before it begins what other operators have kept."""
 
     @wraps(run)
     def inner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for name, kept in _KEPT.items():
+            if name != operator:
+                kept.clear()
         try:
             for b in run(batches):
                 yield b

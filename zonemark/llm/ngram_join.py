@@ -437,7 +437,7 @@ def link_documents(
     infos = named.filter("lo is null").select("doc", "print", "n", "key")
     real = infos.filter("doc is not null and n > 0")
     by_key = stored(real.groupBy("key").agg(F.min("doc").alias("low"), F.min(F.struct("doc", "print")).alias("one"), F.first("n").alias("n")), "sets")
-    clusters = components(_edges(named, buckets))
+    clusters = components(_edges(named, buckets), reduced=True)
     clusters = stored(clusters.select(F.col("node").alias("key"), F.col("component").alias("cluster")), "clusters")
     # one text a set
     first = few(clusters).join(by_key, "key").select("key", "cluster", "n", F.col("one.doc").alias("doc"), F.col("one.print").alias("print"))
@@ -446,7 +446,7 @@ def link_documents(
     found = texts.repartition("group").sortWithinPartitions("group").mapInArrow(lean(_link_clusters), "a long, b long")
     found = stored(found.distinct().unionByName(_same_id(real)), "links")
     release(spark)
-    sets = stored(components(found).withColumnRenamed("node", "key"), "linked")
+    sets = stored(components(found, reduced=True).withColumnRenamed("node", "key"), "linked")
     # from keys to smallest ids: by_key has a row a key, and no join has an aggregate below it, so Spark
     # can split what is left of a large group
     named_sets = by_key.select("key", "low").join(few(sets), "key", "left").withColumn("g", F.coalesce("component", "key"))
@@ -498,3 +498,20 @@ def _groups(first: DataFrame, cluster_sets: int, part_sets: int, cluster_shingle
     none = F.array().cast("array<bigint>")
     cut = x.select("doc", "print", "key", F.explode(F.concat(own, F.coalesce(above, none), F.coalesce(below, none))).alias("group"))
     return small.unionByName(cut)
+
+
+def oracle() -> str:
+    """The query's rows in DuckDB's SQL: sets with a shingle in common, pair by pair. For small tables."""
+    return f"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+     g AS (SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) >= {WIDTH} THEN list_transform(range(1, len(w) - {WIDTH - 2}), lambda i: array_to_string(w[i:i + {WIDTH - 1}], ' '))
+                                             WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE CAST([] AS VARCHAR[]) END)) AS sh FROM d),
+     one AS (SELECT min(doc_id) AS low, sh, len(sh) AS n FROM g WHERE len(sh) > 0 GROUP BY sh),
+     s AS (SELECT low, n, unnest(sh) AS t FROM one),
+     pairs AS (SELECT a.low AS a, b.low AS b FROM s a JOIN s b ON a.t = b.t AND a.low < b.low AND 100 * least(a.n, b.n) >= {PERCENT} * greatest(a.n, b.n)
+               GROUP BY a.low, b.low, a.n, b.n HAVING 100 * count(*) >= {PERCENT} * (a.n + b.n - count(*))),
+     e AS (SELECT a, b FROM pairs UNION ALL SELECT b, a FROM pairs),
+     reach AS (SELECT low AS v, low AS u FROM one UNION SELECT reach.v, e.b FROM reach JOIN e ON reach.u = e.a),
+     comp AS (SELECT v, min(u) AS component FROM reach GROUP BY v)
+SELECT g.doc_id, CAST(len(g.sh) AS BIGINT) AS n_shingles, coalesce(component, g.doc_id) AS component_id
+FROM g LEFT JOIN one ON g.sh = one.sh LEFT JOIN comp ON one.low = comp.v"""

@@ -223,4 +223,4 @@ def pack_documents(
             yield _rows(doc_ids, ids, prompts, limits, nxt)[0]
 
     prompt = F.col(prompt_col).cast("long") if prompt_col else F.lit(0).cast("long")
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"), prompt).mapInArrow(lean(run), SCHEMA)
+    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"), prompt).mapInArrow(lean(run, "tokens"), SCHEMA)

@@ -207,7 +207,7 @@ def write_tokens(
 
     rows = docs.select(F.col(id_col).cast("long").alias("i"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"))
     rows.repartitionByRange("i").sortWithinPartitions("i", "t").mapInArrow(
-        lean(run), "part long, segment long, ids_before long, n_ids long, data binary"
+        lean(run, "tokens"), "part long, segment long, ids_before long, n_ids long, data binary"
     ).write.option("compression", "none").parquet(path)
 
 

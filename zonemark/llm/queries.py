@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, url_filter
+from . import line_dedup, ngram_join, sharding, substring_dedup, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -90,4 +90,10 @@ QUERIES: dict[str, Query] = {
     "op10_token_output": op10_token_output,
 }
 
-ORACLE_SQL: dict[str, str] = {"op1_line_dedup": line_dedup.oracle(), "op7_url_filters": url_filter.oracle()}
+ORACLE_SQL: dict[str, str] = {
+    "op1_line_dedup": line_dedup.oracle(),
+    "op6_ngram_jaccard_join": ngram_join.oracle(),
+    "op7_url_filters": url_filter.oracle(),
+    "op8_sharding": sharding.oracle(),
+    "op9_substring_dedup": substring_dedup.oracle(),
+}

@@ -77,3 +77,16 @@ def shard_rows(
         F.lit(None).cast("int").alias("grown_shard"),
         F.when(F.col("_s") != "null", F.expr("substring(_s, 2)")).alias("source"),
     )
+
+
+def oracle(shards: int = 24, seed: int = 17) -> str:
+    """The query's rows in DuckDB's SQL; the checksum is worked out byte by byte."""
+    return f"""
+WITH t AS (SELECT list_transform(range(256), lambda n: list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, CAST(n AS BIGINT))) AS crc),
+     d AS (SELECT doc_id, coalesce('=' || source, 'null') AS s, CAST(octet_length(encode(coalesce(text, ''))) + 8 AS BIGINT) AS size, md5('{seed}:' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS h,
+                  xor(list_reduce(list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: CAST('0x' || x AS BIGINT)),
+                      lambda c, x: xor(c >> 8, crc[(xor(c, x) & 255) + 1]), CAST(4294967295 AS BIGINT)), 4294967295) AS text_crc32 FROM documents, t),
+     f AS (SELECT *, (row_number() OVER (PARTITION BY s ORDER BY h, doc_id, text_crc32, size) - 0.5::DOUBLE) / count(*) OVER (PARTITION BY s) AS frac FROM d),
+     g AS (SELECT *, row_number() OVER (ORDER BY frac, s, h, doc_id, text_crc32, size) - 1 AS g, count(*) OVER () AS n FROM f)
+SELECT doc_id, size, text_crc32, 'rows' AS law, CAST(g * {shards} // n AS INTEGER) AS shard, CAST(g - ((g * {shards} // n) * n + {shards - 1}) // {shards} AS BIGINT) AS slot, CAST(NULL AS INTEGER) AS grown_shard,
+       CASE WHEN s <> 'null' THEN substr(s, 2) END AS source FROM g"""

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 #: Rows of a stored table that is sent to all tasks; a larger one is joined by a shuffle.
 FEW = 500_000
+_BATCH, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 2000
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -42,12 +43,25 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def batches(spark: SparkSession, rows: int) -> str:
+    """Rows that go to workers at once from now on in this session; what it was before.  A batch of texts is
+    held outside the executor's heap, some three times over."""
+    before = spark.conf.get(_BATCH)
+    spark.conf.set(_BATCH, str(rows))
+    return before
+
+
 def stored(df: DataFrame, name: str = "step") -> DataFrame:
     """Write a step's rows to the shared folder and read them again: lineage ends there, so a lost
-    executor costs no more than the files it was writing."""
+    executor costs no more than the files it was writing.  Texts go to the step's workers in batches of
+    ``BATCH_ROWS``."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = batches(spark, BATCH_ROWS)
+    try:
+        df.write.parquet(path)
+    finally:
+        batches(spark, int(before))
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -385,3 +385,17 @@ def _dealt(rows: DataFrame, parts: int, told: list[DataFrame]) -> DataFrame:
     for k, t in enumerate(told):
         out = out.unionByName(t.select("part", F.lit(k).alias("kind"), "bucket", "data", none.cast("long").alias("doc"), text.alias("text")))
     return out.repartitionById(parts, F.col("part")).sortWithinPartitions("part", "kind")
+
+
+def oracle() -> str:
+    """The query's rows in DuckDB's SQL, window by window."""
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+     p AS (SELECT r, doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d),
+     k AS (SELECT r, doc_id, i, w[i] AS word, CASE WHEN i + {WINDOW - 1} <= len(w) THEN array_to_string(w[i:i + {WINDOW - 1}], ' ') END AS win FROM p),
+     low AS (SELECT win, min(doc_id) AS first FROM k WHERE win IS NOT NULL GROUP BY win),
+     b AS (SELECT k.r, i, word, coalesce(first < doc_id, false) AS starts FROM k LEFT JOIN low ON k.win = low.win),
+     g AS (SELECT r, i, word, bool_or(starts) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN {WINDOW - 1} PRECEDING AND CURRENT ROW) AS gone FROM b),
+     s AS (SELECT r, count(*) FILTER (WHERE gone) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (WHERE NOT gone) AS kept FROM g GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN s USING (r)"""

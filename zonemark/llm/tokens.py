@@ -18,7 +18,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-_TOKENIZERS: dict[str, "ChunkTokenizer"] = {}
+from .memory import keeps
+
+_TOKENIZERS = keeps("tokens")
 _MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _JOIN = 200
 

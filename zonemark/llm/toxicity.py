@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .memory import lean
+from .memory import keeps, lean
 from .storage import discard, stored
 
 ORDER, SHARED = 4, 2
@@ -198,7 +198,7 @@ class Model:
         return _OPEN["opened"]
 
 
-_OPEN: dict = {}
+_OPEN = keeps("toxicity")
 
 
 @dataclass
@@ -306,7 +306,7 @@ def compared(rows: DataFrame, text_col: str, held) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*cols, *[pa.array(np.concatenate(x)) for x in (llr, peak, n)]], [*keep, "llr", "peak", "n_symbols"])
 
     schema = T.StructType([f for f in rows.schema if f.name != text_col]).add("llr", "double").add("peak", "double").add("n_symbols", "long")
-    return rows.mapInArrow(lean(run), schema)
+    return rows.mapInArrow(lean(run, "toxicity"), schema)
 
 
 def _features(llr: np.ndarray, peak: np.ndarray, n: np.ndarray) -> np.ndarray:
