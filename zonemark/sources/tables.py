@@ -21,6 +21,12 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{told.rstrip('/')}/zonemark-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
+def clear(spark: SparkSession) -> None:
+    """Delete what this application has written to its folders: for when the results have been read."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(scratch(spark, "x").rsplit("/", 1)[0])
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def kept(df: DataFrame, name: str) -> DataFrame:
     """A step's rows, written and read again: what comes after sees them once and for all."""
     path = scratch(df.sparkSession, name)
