@@ -21,7 +21,8 @@ from ..plans.registry import CodeError, Registry, world_registry
 from . import codes
 from .codes import MIN_LONG
 from .linear import Line, line
-from .uk import fold, let, uk_native, uk_plain, uk_render
+from .uk import PARTS as UK_PARTS
+from .uk import fold, let, uk_native, uk_part, uk_plain, uk_render
 
 ColumnOrName = Column | str
 _PAYLOAD = (1 << 48) - 1
@@ -518,10 +519,46 @@ def _having(name: str, reg: Registry, countries: list[str] | None) -> list:
     return out
 
 
+#: Where the parts of compiled formats stand in a code: first character, how many. GB's are fields of the payload.
+_PLACES = {
+    "US": {"zip5": (1, 5), "plus4": (7, 4)},
+    "CA": {"fsa": (1, 3), "ldu": (5, 3)},
+    "IE": {"routing_key": (1, 3), "unique_id": (5, 4)},
+    "BR": {"region": (1, 1), "area": (2, 4), "suffix": (7, 3)},
+}
+
+
+def _placed(reg: Registry, countries: list[str] | None) -> list[str] | None:
+    """The formats of some countries if all of them are compiled: their parts need no pattern."""
+    names = _formats_of(reg, countries)
+    return sorted(names - {None}) if countries is not None and "pattern" not in names else None
+
+
+def _placed_piece(fmt: str, k: Column, name: str) -> tuple[Column, Column]:
+    """(a part, where it ends) of a code of a compiled format; null where it is absent."""
+    p = payload(k)
+    if fmt == "GB":
+        lens = [F.length(uk_part(p, n)) + int(n == "sector") for n in UK_PARTS[: UK_PARTS.index(name) + 1]]
+        return uk_part(p, name), functools.reduce(lambda x, y: x + y, lens)
+    first, n = _PLACES[fmt][name]
+    piece = F.nullif(F.substring(_national(fmt, p), first, n), F.lit(""))
+    return piece, F.when(piece.isNotNull(), F.lit(first + n - 1))
+
+
+def _parts_of_format(fmt: str) -> list[str]:
+    return list(UK_PARTS) if fmt == "GB" else list(_PLACES.get(fmt, {}))
+
+
 def part(key: ColumnOrName, name: str, registry: Registry | None = None, countries: list[str] | None = None) -> Column:
     """The named piece of a code's text; null where it is absent."""
     reg = registry or world_registry()
     patterns = _having(name, reg, countries)
+    placed = _placed(reg, countries)
+    if placed:
+        k, out = _col(key), F
+        for fmt in (x for x in placed if name in _parts_of_format(x)):
+            out = out.when(tag(k) == FORMAT_TAGS[fmt], _placed_piece(fmt, k, name)[0])
+        return out
 
     def pick(k: Column, t: Column) -> Column:
         out = F
@@ -538,22 +575,37 @@ def parts(key: ColumnOrName, registry: Registry | None = None, countries: list[s
     reg = registry or world_registry()
     patterns = _patterns(reg, countries)
 
+    def json(pieces: list[tuple[str, Column]]) -> Column:
+        if jsonb_order:
+            pieces.sort(key=lambda x: (len(x[0]), x[0]))
+        return F.to_json(F.struct(*[c.alias(n) for n, c in pieces]), {"ignoreNullFields": "false"})
+
     def pick(k: Column, t: Column) -> Column:
         out = F.when(tag(k) == END_TAG, F.lit(None).cast("string"))
         for which, regex in patterns:
-            pieces = _pieces(t, regex)
-            if jsonb_order:
-                pieces.sort(key=lambda x: (len(x[0]), x[0]))
-            out = out.when(which(k), F.to_json(F.struct(*[c.alias(n) for n, c in pieces]), {"ignoreNullFields": "false"}))
+            out = out.when(which(k), json(_pieces(t, regex)))
         return out
 
-    return _read(_col(key), reg, countries, pick)
+    placed = _placed(reg, countries)
+    if placed is None:
+        return _read(_col(key), reg, countries, pick)
+    k = _col(key)
+    out = F.when(tag(k) == END_TAG, F.lit(None).cast("string"))
+    for fmt in (x for x in placed if _parts_of_format(x)):
+        out = out.when(tag(k) == FORMAT_TAGS[fmt], json([(n, _placed_piece(fmt, k, n)[0]) for n in _parts_of_format(fmt)]))
+    return out
 
 
 def part_end(key: ColumnOrName, name: str, registry: Registry | None = None, countries: list[str] | None = None) -> Column:
     """How many characters of a code (without ``CC-``) go up to the end of a part; null where it is absent."""
     reg = registry or world_registry()
     patterns = _having(name, reg, countries)
+    placed = _placed(reg, countries)
+    if placed:
+        k, out = _col(key), F
+        for fmt in (x for x in placed if name in _parts_of_format(x)):
+            out = out.when(tag(k) == FORMAT_TAGS[fmt], _placed_piece(fmt, k, name)[1])
+        return out
 
     def pick(k: Column, t: Column) -> Column:
         out = F
