@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from zonemark.llm import ann, decontaminate, line_dedup, ngram_join, packing, pfor, queries, sharding, signature_tree, substring_dedup, tokens, toxicity, url_filter, words
+from zonemark.llm import ann, decontaminate, line_dedup, ngram_join, packing, pfor, queries, sharding, signature_tree, storage, substring_dedup, tokens, toxicity, url_filter, words
 from zonemark.llm.components import components
 
 WORD = re.compile(rb"[^\x20\x09-\x0d]+")
@@ -54,6 +54,28 @@ def empty(spark):
     return spark.createDataFrame([], SCHEMA)
 
 
+def test_steps_are_kept_in_the_shared_folder_and_cleared(spark):
+    """One machine may do without the setting; several must have it."""
+    kept = storage.stored(spark.range(5), "five")
+    folder = storage.shared_folder(spark)
+    assert folder.startswith(spark.conf.get("spark.checkpoint.dir")) and all(f.startswith(folder.replace("file://", "file:")) or folder in f for f in kept.inputFiles())
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    storage.stored(kept, "again")
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
+
+    class Cluster:
+        class conf:
+            get = staticmethod(lambda key, default: default)
+
+        class sparkContext:
+            master, applicationId = "spark://host:7077", "app"
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        storage.shared_folder(Cluster)
+    Cluster.sparkContext.master = "local[4]"
+    assert storage.shared_folder(Cluster).startswith("file:///tmp/")
+
+
 # ---- 1 ----------------------------------------------------------------------------------------------------
 
 
